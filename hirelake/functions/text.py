@@ -39,6 +39,11 @@ def words(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iu)" if ignore_case else "") + out
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _accent_table() -> tuple[str, str]:
     """Letters below U+2000 that decompose into one base character and combining marks."""
     src, dst = [], []

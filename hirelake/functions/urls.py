@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import trim_ws
+from hirelake.functions.text import bind, trim_ws
 
 # --- fixed values -----------------------------------------------------------------
 TRACKING_PARAMS = [
@@ -54,51 +54,66 @@ def _kept_query(query: Column) -> Column:
     ordered = F.array_sort(
         F.transform(wanted, lambda p: F.struct(F.lower(p["key"]), p["key"], p["at"], p["value"]))
     )
-    text = F.array_join(
-        F.transform(ordered, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))),
-        "&",
+    encoded = F.transform(ordered, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"])))
+    return bind(
+        F.array_join(encoded, "&"),
+        lambda t: F.when(F.length(t) > 0, F.concat(F.lit("?"), t)).otherwise(F.lit("")),
     )
-    return F.when(F.length(text) > 0, F.concat(F.lit("?"), text)).otherwise(F.lit(""))
+
+
+def _split(c: Column) -> Column:
+    """The parts of an http(s) URL, found once; `ok` is false for anything else."""
+    raw = F.trim(c)
+    return F.struct(
+        raw.alias("raw"),
+        raw.rlike(_HTTP).alias("ok"),
+        F.lower(_part(raw, 1)).alias("scheme"),
+        F.lower(_part(raw, 2)).alias("host"),
+        _part(raw, 3).alias("port"),
+        F.regexp_replace(_part(raw, 4), r"/+\z", "").alias("path"),
+        _part(raw, 5).alias("query"),
+    )
+
+
+def _path(u: Column) -> Column:
+    return F.when(u["path"] == "", "/").otherwise(u["path"])
 
 
 def normalise_url(c: Column) -> Column:
     """One spelling per page: https, lower host without www, no default port, hash or tracking."""
-    raw = F.trim(c)
-    scheme = F.lower(_part(raw, 1))
-    host = F.regexp_replace(F.lower(_part(raw, 2)), r"\Awww\.", "")
-    port = _part(raw, 3)
-    drop = port.isin("", ":", ":443") | ((scheme == "http") & (port == ":80"))
-    path = F.regexp_replace(_part(raw, 4), r"/+\z", "")
-    query = _part(raw, 5)
-    kept = F.when(F.length(query) > 1, _kept_query(query)).otherwise(F.lit(""))
-    return F.when(
-        raw.rlike(_HTTP),
-        F.concat(
-            F.lit("https://"), host, F.when(drop, "").otherwise(port),
-            F.when(path == "", "/").otherwise(path), kept,
-        ),
-    ).otherwise(trim_ws(c))
+
+    def rebuild(u: Column) -> Column:
+        drop = u["port"].isin("", ":", ":443") | ((u["scheme"] == "http") & (u["port"] == ":80"))
+        return F.when(
+            u["ok"],
+            F.concat(
+                F.lit("https://"), F.regexp_replace(u["host"], r"\Awww\.", ""),
+                F.when(drop, "").otherwise(u["port"]), _path(u),
+                F.when(F.length(u["query"]) > 1, _kept_query(u["query"])).otherwise(F.lit("")),
+            ),
+        ).otherwise(trim_ws(u["raw"]))
+
+    return F.when(c.isNotNull(), bind(_split(c), rebuild))
 
 
 def normalise_source_url(c: Column) -> Column:
     """Lighter form for crawl sources: no hash, lower host, no trailing slash; query kept."""
-    raw = F.trim(c)
-    scheme = F.lower(_part(raw, 1))
-    port = _part(raw, 3)
-    drop = (
-        port.isin("", ":")
-        | ((scheme == "http") & (port == ":80"))
-        | ((scheme == "https") & (port == ":443"))
-    )
-    path = F.regexp_replace(_part(raw, 4), r"/+\z", "")
-    query = _part(raw, 5)
-    return F.when(
-        raw.rlike(_HTTP),
-        F.concat(
-            scheme, F.lit("://"), F.lower(_part(raw, 2)), F.when(drop, "").otherwise(port),
-            F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query),
-        ),
-    ).otherwise(F.regexp_replace(raw, r"/+\z", ""))
+
+    def rebuild(u: Column) -> Column:
+        drop = (
+            u["port"].isin("", ":")
+            | ((u["scheme"] == "http") & (u["port"] == ":80"))
+            | ((u["scheme"] == "https") & (u["port"] == ":443"))
+        )
+        return F.when(
+            u["ok"],
+            F.concat(
+                u["scheme"], F.lit("://"), u["host"], F.when(drop, "").otherwise(u["port"]), _path(u),
+                F.when(u["query"] == "?", "").otherwise(u["query"]),
+            ),
+        ).otherwise(F.regexp_replace(u["raw"], r"/+\z", ""))
+
+    return F.when(c.isNotNull(), bind(_split(c), rebuild))
 
 
 def host_of(c: Column) -> Column:

@@ -272,7 +272,7 @@ def clean_loc(d: Domain) -> DataFrame:
     raw = (
         F.when(i % 4 == 0, F.concat(F.lit(" – "), t, F.lit(" &amp;  Co, ")))
         .when(i % 4 == 1, F.lit(" Standort: "))
-        .when(i % 4 == 2, F.repeat(t, 12))
+        .when(i % 4 == 2, F.repeat(t, 30))
         .otherwise(t)
     )
     return d.postings.select("id", clean_location(raw).alias("location"))
@@ -380,7 +380,7 @@ def parse_salary(d: Domain) -> DataFrame:
 
 @query(
     "coerce_date",
-    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2006 THEN o_orderdate END WHEN 1 THEN o_orderdate WHEN 2 THEN o_orderdate
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2006 THEN o_orderdate END WHEN 1 THEN o_orderdate WHEN 2 THEN o_orderdate + INTERVAL 3650 DAY
       WHEN 3 THEN CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2006 THEN o_orderdate + INTERVAL 30 MINUTE END END AS posted_at FROM orders""",
 )
 def coerce_date(d: Domain) -> DataFrame:
@@ -388,7 +388,7 @@ def coerce_date(d: Domain) -> DataFrame:
     raw = (
         F.when(k % 6 == 0, F.date_format(day, "yyyy-MM-dd"))
         .when(k % 6 == 1, (F.unix_timestamp(day) * 1).cast("string"))
-        .when(k % 6 == 2, F.unix_millis(day).cast("string"))
+        .when(k % 6 == 2, F.unix_millis(day + F.make_dt_interval(F.lit(3650))).cast("string"))
         .when(k % 6 == 3, F.date_format(day, "yyyy-MM-dd'T'00:30:00'Z'"))
         .when(k % 6 == 4, F.lit("soon"))
     )
