@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelake.session import cut_lineage
 from hirelake.sources.tables import read_table
 
 POSTINGS_AT = "2001-11-05"
@@ -280,7 +281,8 @@ class Domain:
                 "content_hash": F.when(F.col("id") % 4 != 0, content_hash(F.col("places"))),
             }
         ).drop("places")
-        return collapse_duplicates(keyed, ["company_id", "dedup_key"]).select(*self.postings.columns)
+        # A stored snapshot is read from files, many times in one merge; so is this one.
+        return cut_lineage(collapse_duplicates(keyed, ["company_id", "dedup_key"]).select(*self.postings.columns))
 
     @cached_property
     def incoming(self) -> DataFrame:
