@@ -56,21 +56,37 @@ def first_wins(
 
 
 def balanced_join(
-    many: DataFrame, few: DataFrame, keys: list[str], pairs_per_task: int = 4_000_000
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_id: list[str],
+    right_id: list[str],
+    pairs_per_task: int = 4_000_000,
 ) -> DataFrame:
-    """Inner equi-join whose hot keys are cut into shares of at most about `pairs_per_task` pairs.
+    """Inner equi-join whose hot keys are cut into cells of about `pairs_per_task` pairs.
 
-    A key with n rows in `many` and m in `few` gets ceil(n*m / pairs_per_task) salts: `many` rows
-    fall into one of them by hash, `few` rows are repeated for each. The result is the plain join.
+    A key with n rows left and m right becomes a grid of a x b cells: left rows fall into one of a
+    rows of the grid by the hash of their id and are repeated for its b columns, right rows the other
+    way round, with a : b as n : m, which copies least. Cold keys have one cell. The result is the
+    plain join.
     """
-    counts = (
-        many.groupBy(*keys)
+    n, m = F.col("_n").cast("double"), F.col("_m").cast("double")
+    cells = F.ceil(n * m / pairs_per_task)
+    grid = (
+        left.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
-        .join(few.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
-        .select(*keys, F.ceil(F.col("_n") * F.col("_m") / pairs_per_task).cast("int").alias("_salts"))
+        .join(right.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+        .withColumn("_a", F.greatest(F.lit(1), F.round(F.sqrt(cells * n / m))).cast("int"))
+        .select(*keys, "_a", F.ceil(cells / F.col("_a")).cast("int").alias("_b"))
     )
-    spread = many.join(counts, keys).withColumn(
-        "_salt", F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int")
-    )
-    repeated = few.join(counts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    return spread.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"]).drop("_salt")
+
+    def placed(df: DataFrame, id_columns: list[str], own: str, other: str) -> DataFrame:
+        return (
+            df.join(grid, keys)
+            .withColumn(f"_at{own}", F.pmod(F.xxhash64(*id_columns), F.col(own)).cast("int"))
+            .withColumn(f"_at{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_a", "_b")
+        )
+
+    cell = ["_at_a", "_at_b"]
+    return placed(left, left_id, "_a", "_b").join(placed(right, right_id, "_b", "_a"), [*keys, *cell]).drop(*cell)

@@ -251,6 +251,11 @@ class Domain:
 
     @cached_property
     def events(self) -> DataFrame:
+        return self.events_of(self.raw("events"))
+
+    @staticmethod
+    def events_of(raw: DataFrame) -> DataFrame:
+        """The log's shape over the raw event table or a stream of it."""
         kinds = {
             "view": "POSTING_VIEWED", "click": "FOLLOW_UP_SENT", "purchase": "APPLICATION_SENT",
             "signup": "APPLICATION_CREATED", "error": "REJECTION_RECEIVED",
@@ -258,7 +263,7 @@ class Domain:
         kind = F.lit(None).cast("string")
         for k, v in kinds.items():
             kind = F.when(F.col("event_type") == k, v).otherwise(kind)
-        return self.raw("events").select(
+        return raw.select(
             "event_id",
             kind.alias("type"),
             F.col("ts").alias("occurred_at"),

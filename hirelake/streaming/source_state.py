@@ -13,18 +13,28 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from hirelake.functions.urls import normalise_source_url
 from hirelake.operators.crawl import MAX_ERROR_TEXT, SchedulePolicy, backoff_hours
 
-STATE = "failure_count int, last_error string, content_hash string, job_count int, last_checked_at timestamp, last_changed_at timestamp, last_synced_at timestamp"
-OUTPUT = "url string, " + STATE
+STATE = T.StructType(
+    [
+        T.StructField("failure_count", T.IntegerType()),
+        T.StructField("last_error", T.StringType()),
+        T.StructField("content_hash", T.StringType()),
+        T.StructField("job_count", T.IntegerType()),
+        T.StructField("last_checked_at", T.TimestampType()),
+        T.StructField("last_changed_at", T.TimestampType()),
+        T.StructField("last_synced_at", T.TimestampType()),
+    ]
+)
+OUTPUT = T.StructType([T.StructField("url", T.StringType()), *STATE.fields])
 
 
 class SourceStateProcessor(StatefulProcessor):
     """Folds the finished runs of one URL, in time order, into its state row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T._parse_datatype_string(STATE))
+        self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in STATE.split(", ")]
+        names = STATE.names
         kept = self.state.get()
         now = dict(zip(names, kept)) if kept is not None else dict.fromkeys(names) | {"failure_count": 0, "job_count": 0}
         for run in pd.concat(list(rows)).sort_values("at").itertuples():
