@@ -61,7 +61,7 @@ def balanced_join(
     keys: list[str],
     left_id: list[str],
     right_id: list[str],
-    pairs_per_task: int = 4_000_000,
+    pairs_per_task: int = 100_000,
 ) -> DataFrame:
     """Inner equi-join whose hot keys are cut into cells of about `pairs_per_task` pairs.
 
@@ -86,7 +86,11 @@ def balanced_join(
             .withColumn(f"_at{own}", F.pmod(F.xxhash64(*id_columns), F.col(own)).cast("int"))
             .withColumn(f"_at{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop("_a", "_b")
+            # A fixed number: the rows are small but each pair is work, so byte-based coalescing
+            # would put the pairs of many cells into one task.
+            .repartition(tasks, *keys, *cell)
         )
 
     cell = ["_at_a", "_at_b"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed(left, left_id, "_a", "_b").join(placed(right, right_id, "_b", "_a"), [*keys, *cell]).drop(*cell)
