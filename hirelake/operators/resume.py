@@ -128,7 +128,7 @@ def _title_text(line: Column) -> Column:
 
 
 def with_titles(df: DataFrame) -> DataFrame:
-    """Adds `titles` (struct<title, domain, seniority>, six at most, distinct by folded text)."""
+    """Adds `roles` (struct<title, domain, seniority>, six at most, distinct by folded text)."""
     readable = F.filter(
         "scope",
         lambda v: (F.length(v) <= 90)
@@ -158,7 +158,7 @@ def with_titles(df: DataFrame) -> DataFrame:
     first = F.filter(
         "_t", lambda t, i: F.array_position(F.col("_keys"), F.element_at(F.col("_keys"), i + 1)) == i + 1
     )
-    return df.withColumn("titles", F.slice(first, 1, MAX_TITLES)).drop("_t", "_keys")
+    return df.withColumn("roles", F.slice(first, 1, MAX_TITLES)).drop("_t", "_keys")
 
 
 def top_domains(titles: Column) -> Column:
@@ -244,9 +244,9 @@ def extract_profiles(cvs: DataFrame, as_of: Column, text: str = "text") -> DataF
     body = F.col(text)
     return df.select(
         *keep,
-        F.transform("titles", lambda t: t["title"]).alias("titles"),
-        top_domains(F.col("titles")).alias("domains"),
-        seniorities(F.col("titles"), F.col("years"), body).alias("seniorities"),
+        F.transform("roles", lambda t: t["title"]).alias("titles"),
+        top_domains(F.col("roles")).alias("domains"),
+        seniorities(F.col("roles"), F.col("years"), body).alias("seniorities"),
         contracts(body).alias("employment_types"),
         "cities",
         "countries",
