@@ -77,7 +77,12 @@ class Domain:
     @cached_property
     def postings(self) -> DataFrame:
         """One row per (part, supplier) that lineitem names."""
-        pairs = self.raw("lineitem").groupBy("l_partkey", "l_suppkey").agg(
+        # A fixed number of partitions: the grouped rows are narrow, but each takes a long description
+        # next, so coalescing them by size would leave the text work to one or two tasks. Almost every
+        # pair is its own group, so grouping before this shuffle would save nothing.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        items = self.raw("lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+        pairs = items.repartition(tasks, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(
             F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen")
         )
         documents = self.raw("documents").select(F.col("doc_id").alias("l_partkey"), F.col("text").alias("description"))

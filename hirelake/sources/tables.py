@@ -15,7 +15,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _pointer(spark: SparkSession, path: str):
     jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+    hadoop = jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
@@ -23,7 +23,7 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     pointer, fs = _pointer(spark, path)
     if not fs.exists(pointer):
         return None
-    return spark.read.text(f"{path}/_CURRENT").first()[0]
+    return spark.read.text(f"{path}/current.txt").first()[0]
 
 
 def write_snapshot(df: DataFrame, path: str, version: str, partition_by: list[str] | None = None) -> str:
