@@ -10,10 +10,12 @@ from hirelake.plans import registry
 from hirelake.session import local_session
 
 HEADLINE = [
-    "board_match_top25", "facets", "f_search", "search_rank", "score_text", "count_new", "resolve_near_duplicates",
-    "ingest_batch", "reconcile", "merge_companies", "digest", "overview", "activity", "location_suggestions",
-    "crawl_worklist", "dedupe_listing", "extract_profiles", "sent_snapshot",
+    "board_match_top25", "facets", "f_search", "search_rank", "count_new", "ingest_batch", "reconcile", "collapse_duplicates",
+    "repoint_interactions", "overview", "activity", "location_suggestions", "crawl_worklist", "board_fingerprint",
+    "resume_titles", "sent_snapshot", "backfill_events",
 ]
+# Minutes each at sf0.1; run with BENCH_LONG=1.
+LONG = ["score_text", "resolve_near_duplicates", "merge_companies", "dedupe_listing", "extract_profiles", "digest"]
 
 
 def main() -> None:
@@ -24,7 +26,7 @@ def main() -> None:
     # The first query would otherwise pay for starting the executor threads and reading footers.
     run["count_by_status"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in HEADLINE + (LONG if os.environ.get("BENCH_LONG") else []):
         start = time.perf_counter()
         run[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
