@@ -64,7 +64,6 @@ def predicate(name: str, q: BoardQuery, where: str, viewer: Viewer = PLAIN) -> N
     query(name, f"WITH frame AS ({FRAME}) SELECT {KEEP} FROM frame WHERE {where}")(build)
 
 
-ALL = "true"
 predicate("f_base", BoardQuery(include_closed=True), "true")
 predicate("f_open", BoardQuery(), "closed_at IS NULL")
 predicate("f_status", BoardQuery(include_closed="1", status=["SEEN", "DISMISSED"]), "status IN ('SEEN', 'DISMISSED')")
@@ -275,9 +274,6 @@ def count_total(d: Domain) -> DataFrame:
     return b.count_total(frame(d), BoardQuery(only_matches=True), VIEWER, as_of())
 
 
-RECENT = f"TIMESTAMP '1999-03-01'"
-
-
 @query(
     "count_new",
     f"""WITH frame AS ({FRAME}) SELECT count(*) AS new_count FROM frame WHERE closed_at IS NULL AND created_at >= {NOW} - INTERVAL 7 DAY

@@ -357,7 +357,7 @@ def pay_texts(d: Domain) -> DataFrame:
         .when(i % 6 == 2, F.lit("about 15 to 20 hours"))
         .when(i % 6 == 3, F.concat(k, F.lit("k – 10k")))
         .when(i % 6 == 4, F.concat(F.lit("$ "), k, F.lit(",000 to $ "), k, F.lit(",500")))
-        .otherwise("description")
+        .otherwise(F.concat(F.lit("pay by agreement, call 555-382 or 12 - 14 h for "), "title"))
     )
     return d.postings.select("id", raw.alias("t"), F.floor(low / 1000).alias("k"))
 
@@ -367,13 +367,11 @@ def pay_texts(d: Domain) -> DataFrame:
     """WITH k AS (SELECT id, floor(coalesce(salary_min, 30) / 1000) AS k, description FROM posting)
     SELECT id, CAST(CASE WHEN id % 6 = 0 AND k >= 10 THEN k * 1000 WHEN id % 6 = 1 AND k >= 1 THEN k * 1000 + 500 WHEN id % 6 = 4 AND k >= 1 THEN k * 1000 END AS INTEGER) AS salary_min,
       CAST(CASE WHEN id % 6 = 0 AND k >= 10 THEN (k + 9) * 1000 WHEN id % 6 = 1 AND k >= 1 THEN k * 1000 + 900 WHEN id % 6 = 4 AND k >= 1 THEN k * 1000 + 500 END AS INTEGER) AS salary_max,
-      CASE WHEN id % 6 = 0 AND k >= 10 THEN 'EUR' WHEN id % 6 = 4 AND k >= 1 THEN 'USD' END AS salary_currency FROM k WHERE id % 6 <> 5""",
+      CASE WHEN id % 6 = 0 AND k >= 10 THEN 'EUR' WHEN id % 6 = 4 AND k >= 1 THEN 'USD' END AS salary_currency FROM k""",
 )
 def parse_salary(d: Domain) -> DataFrame:
     pay = roles.parse_salary(F.substring("t", 1, n.SALARY_SCOPE))
-    rows = pay_texts(d).select("id", pay.alias("p"))
-    # Free descriptions are covered by the whole job below; here each text has a known answer.
-    return rows.filter(F.col("id") % 6 != 5).select(
+    return pay_texts(d).select("id", pay.alias("p")).select(
         "id", F.col("p.min").alias("salary_min"), F.col("p.max").alias("salary_max"), F.col("p.currency").alias("salary_currency")
     )
 
@@ -435,11 +433,11 @@ def relative_date(d: Domain) -> DataFrame:
 # --- the listing job ----------------------------------------------------------------------
 
 
-def raw_listing(d: Domain) -> DataFrame:
+def raw_listing(d: Domain, copies: bool = True) -> DataFrame:
     """Raw jobs as boards list them: every posting, a quarter of them twice, fuller the second time."""
     i, none = F.col("id"), F.lit(None).cast("string")
-    copies = F.explode(F.when(i % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    rows = d.postings.withColumn("copy", copies)
+    both = F.explode(F.when(i % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = d.postings.withColumn("copy", both if copies else F.lit(0))
     full = F.col("copy") == 1
     return rows.select(
         F.lit("lever").alias("platform"),
@@ -481,10 +479,10 @@ _RANGE = lambda c: f"CASE WHEN {c} BETWEEN 1000 AND 10000000 THEN {c} END"
       {_RANGE('salary_min')} AS salary_min, {_RANGE('salary_max')} AS salary_max,
       CASE WHEN coalesce({_RANGE('salary_min')}, {_RANGE('salary_max')}) IS NOT NULL THEN salary_currency END AS salary_currency,
       CASE WHEN year(posted_at) BETWEEN 2000 AND 2006 THEN posted_at END AS posted_at
-    FROM j WHERE salary_min IS NOT NULL OR salary_max IS NOT NULL""",
+    FROM j""",
 )
 def normalise_postings(d: Domain) -> DataFrame:
-    rows = n.normalise_postings(raw_listing(d).filter("salary_min IS NOT NULL OR salary_max IS NOT NULL").filter("pos % 2 = 0"), at(POSTINGS_AT))
+    rows = n.normalise_postings(raw_listing(d, copies=False), at(POSTINGS_AT))
     stated = F.col("pos").cast("bigint") / 2 % 5
     return rows.select(
         (F.col("pos") / 2).cast("bigint").alias("id"), "title", "url", "location", "domain", "seniority", "department",
