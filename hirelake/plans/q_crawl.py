@@ -113,7 +113,6 @@ def sources(d: Domain) -> DataFrame:
     )
 
 
-_NORM = "regexp_replace(replace(replace({}, 'https://Jobs.Lever.co', 'https://jobs.lever.co'), 'example.com/', 'example.com//'), '([^/])/$', '\\1')"
 WORK = f"""SELECT url, list_sort(list(DISTINCT company_id)) AS ids FROM (
   SELECT CASE WHEN careers_url IS NULL THEN website ELSE regexp_replace(replace(careers_url, 'Jobs.Lever.co', 'jobs.lever.co'), '/$', '') END AS url, id AS company_id
     FROM company WHERE status <> 'REJECTED' AND coalesce(careers_url, website) IS NOT NULL

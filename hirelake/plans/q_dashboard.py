@@ -157,7 +157,6 @@ def reindex_column(d: Domain) -> DataFrame:
     return li.reindex_column(li.kanban_columns(live(d)), d.applications)
 
 
-_FOUND = "(contains(lower(name), 'supplier#00000000') OR contains(lower(coalesce(industry, '')), 'bank') OR contains(lower(country), 'supplier#00000000'))"
 
 
 @query("list_companies", "SELECT id, name, industry FROM company WHERE contains(lower(name), '#0000000') AND status IN ('APPROVED', 'PENDING') AND industry IN ('AI', 'RETAIL') ORDER BY created_at DESC, id LIMIT 12 OFFSET 12")
