@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import mixing, packing, pii, token_output
+from hirelake.llm import mixing, packing, pii, quality, substrings, token_output
 from hirelake.session import run_folder
 
 QUERIES = {}
@@ -38,6 +38,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), bpe_50k())
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeated_passages_removed(table(spark, folder, "documents")).drop("kept_text")
+
+
 MIXING_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -73,6 +78,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.withColumn("target", F.round("target", 3))
 
 
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_token_id_output")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     path = run_folder(spark, "token-ids")
