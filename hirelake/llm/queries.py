@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import mixing, packing, pii, quality, substrings, token_output, toxicity
+from hirelake.llm import jaccard, mixing, packing, pii, quality, substrings, token_output, toxicity
 from hirelake.session import run_folder
 
 QUERIES = {}
@@ -43,6 +43,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeated_passages_removed(table(spark, folder, "documents")).drop("kept_text")
 
 
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, folder, "documents")).drop("fp")
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
