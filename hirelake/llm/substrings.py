@@ -69,10 +69,14 @@ def _same_as_next(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
 
 
-def _columns(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit columns out of rows of 16 bytes or more."""
-    pairs = np.ascontiguousarray(rows[:, :16]).view("<u8")
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
+def _long_rows(pairs: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """12 bytes of each window: 64 bits of its first hash, 31 of its second and the flag."""
+    second = (pairs[:, 1] & np.uint64(0xFFFFFFFE)) | many.astype(np.uint64)
+    return np.concatenate([_packed(pairs[:, 0], 8), _packed(second, 4)], axis=1)
+
+
+def _long_columns(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _unpacked(rows[:, :8].tobytes(), 8), _unpacked(rows[:, 8:].tobytes(), 4)
 
 
 class Windows:
@@ -101,7 +105,7 @@ class Windows:
         return at[known[i] == key]
 
     def long_hashes(self, at: np.ndarray) -> np.ndarray:
-        """128 bits of each window at `at`, as two columns."""
+        """Two 64-bit hashes of each window at `at`."""
         if not len(at):
             return np.zeros((0, 2), np.uint64)
         return np.stack([grams(self.hashes, self.window, 1)[at], grams(mix(self.hashes, 21), self.window, 2)[at]], axis=1)
@@ -136,11 +140,11 @@ def repeated_passages_removed(
     1. Index and probe. Documents are dealt by hash into chunks. Each chunk sends every rolling probe (the hash of each
        run of a block's length) once, with flags for "is a block here" and "more than once here", packed by bucket of
        the hash. A bucket finds the probes that occur twice or more anywhere and tells each chunk which of its blocks do.
-    2. Extend. A window is a candidate if its block was hit. Chunks send 128-bit hashes of their candidates, once each,
+    2. Extend. A window is a candidate if its block was hit. Chunks send 95-bit hashes of their candidates, once each,
        and buckets find those that occur twice or more. Neighbouring ones make the maximal repeats.
-    3. Remove. Chunks get the repeated hashes back and drop the words that they cover.
+    3. Remove. Chunks get 64 bits of their repeated windows back and drop the words that these cover.
 
-    A passage that many documents share costs a bucket one entry per chunk, never a pair; a hit is confirmed by 128 bits
+    A passage that many documents share costs a bucket one entry per chunk, never a pair; a hit is confirmed by 95 bits
     of the whole window. The number of chunks and buckets follows the length of all texts, so none of them grows; their
     rows carry many hashes each. The text is shuffled once: all three steps read the same exchange.
 
@@ -151,8 +155,8 @@ def repeated_passages_removed(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(4 * shuffle_width(spark), total // chunk_characters + 1)
-    buckets = max(2 * shuffle_width(spark), total // (5 * bucket_probes) + 1)
+    chunks = max(shuffle_width(spark), total // chunk_characters + 1)
+    buckets = max(shuffle_width(spark), total // (5 * bucket_probes) + 1)
     dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
 
     def probes(table: pa.Table) -> pa.Table:
@@ -179,7 +183,7 @@ def repeated_passages_removed(
 
     def long_probes(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _by_bucket(0, np.zeros(0, np.int64), np.zeros((0, 17), np.uint8))
+            return _by_bucket(0, np.zeros(0, np.int64), np.zeros((0, 12), np.uint8))
         known = np.sort(_unpacked(b"".join(right["keys"].to_pylist()), PROBE_BYTES))
         found = []
         for _, _, run in text_runs(left["text"]):
@@ -191,32 +195,26 @@ def repeated_passages_removed(
         starts = np.flatnonzero(first)
         once = pairs[order[starts]]
         many = np.diff(np.append(starts, len(order))) > 1
-        rows = np.concatenate([np.ascontiguousarray(once).view(np.uint8).reshape(-1, 16), many.astype(np.uint8)[:, None]], axis=1)
-        return _by_bucket(_chunk_of(left), (once[:, 0] % np.uint64(buckets)).astype(np.int64), rows)
+        return _by_bucket(_chunk_of(left), (once[:, 0] % np.uint64(buckets)).astype(np.int64), _long_rows(once, many))
 
     def repeated_windows(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(k, np.uint8).reshape(-1, 17) for k in table["keys"].to_pylist()]
-        flat = np.concatenate(rows)
-        hit = _repeated(flat[:, 16] > 0, *_columns(flat))
-        out = [np.ascontiguousarray(r[m][:, :16]).tobytes() for r, m in _split(rows, hit)]
+        rows = [np.frombuffer(k, np.uint8).reshape(-1, 12) for k in table["keys"].to_pylist()]
+        first, second = _long_columns(np.concatenate(rows))
+        hit = _repeated((second & np.uint64(1)) > 0, first, second >> np.uint64(1))
+        out = [r[m][:, :8].tobytes() for r, m in _split(rows, hit)]
         return _answers(table, out)
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
-        a_known, b_known = _columns(np.frombuffer(b"".join(right["keys"].to_pylist()), np.uint8).reshape(-1, 16))
-        order = np.lexsort((b_known, a_known))
-        a_known, b_known = a_known[order], b_known[order]
+        known = np.sort(_unpacked(b"".join(right["keys"].to_pylist()), 8))
         ids, texts, out = left["doc_id"].to_pylist(), left["text"].to_pylist(), []
         for a, b, run in text_runs(left["text"]):
             w = Windows(run, window, block)
             drop = np.zeros(w.n, dtype=bool)
-            if len(a_known):
+            if len(known):
                 at = np.flatnonzero(w.whole)
-                pairs = w.long_hashes(at)
-                i = np.minimum(np.searchsorted(a_known, pairs[:, 0]), len(a_known) - 1)
-                j = np.minimum(i + 1, len(a_known) - 1)
+                key = grams(w.hashes, window, 1)[at]
                 edge = np.zeros(w.n + 1, dtype=np.int64)
-                found = [(a_known[x] == pairs[:, 0]) & (b_known[x] == pairs[:, 1]) for x in (i, j)]
-                hits = at[found[0] | found[1]]
+                hits = at[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
                 edge[hits] += 1
                 edge[hits + window] -= 1
                 drop = np.cumsum(edge)[: w.n] > 0
