@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import jaccard, mixing, packing, pii, quality, substrings, token_output, toxicity
+from hirelake.llm import jaccard, mixing, packing, pii, quality, substrings, token_output, toxicity, vectors
 from hirelake.session import run_folder
 
 QUERIES = {}
@@ -103,3 +103,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_personal_data")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, folder, "embeddings"))

@@ -59,11 +59,13 @@ class Quantiser:
         return self.centres[where] + rest[:, : self.centres.shape[1]]
 
     def tables(self, x: np.ndarray) -> np.ndarray:
-        """Of each row and subspace, the products with all codewords."""
-        return np.einsum("nmd,mkd->nmk", self.parts(x), self.books)
+        """Of each subspace and row, the products with all codewords."""
+        return np.matmul(self.parts(x).transpose(1, 0, 2), self.books.transpose(0, 2, 1))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -89,13 +91,14 @@ def coded(nodes: DataFrame, q: Quantiser, probes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             vec = batch.column(2)
-            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+            x = unit(vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1))
             near = x @ q.centres.T - (q.centres * q.centres).sum(axis=1) / 2
             k = min(probes, near.shape[1])
             top = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
             code = q.encode(x, top[:, 0])
             arrays = [
-                *batch.columns, pa.array(top[:, 0]), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, k), pa.int32()), pa.array(top.ravel())),
+                batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())),
+                pa.array(top[:, 0]), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, k), pa.int32()), pa.array(top.ravel())),
                 pa.array([c.tobytes() for c in code], pa.binary()),
             ]
             yield pa.record_batch(arrays, names=[c.split()[0] for c in CODED.split(", ")])
@@ -135,8 +138,8 @@ def cell_links(table: pa.Table, q: Quantiser, cosine: float, step: int = 256) ->
         x = a["x"][s : s + step]
         tables = q.tables(x)
         about = np.repeat((x @ b_center)[:, None], len(b["node"]), axis=1)
-        for m in range(tables.shape[1]):
-            about += tables[:, m][:, b["code"][:, m]]
+        for m in range(len(tables)):
+            about += tables[m][:, b["code"][:, m]]
         i, j = np.nonzero(about >= least)
         for p in range(0, len(i), 100_000):
             u, v = i[p : p + 100_000], j[p : p + 100_000]
@@ -187,25 +190,19 @@ def near_duplicate_vectors(
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
     fine = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     lengths = rows.filter(fine).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     most = lengths.orderBy(F.col("n").desc(), "d").first()
     usual = most.d if most else 0
     rows = rows.withColumn("node", F.when(fine & (F.size("v") == usual), F.xxhash64("v")))
-    scale = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda e: e / scale)  # so that no square leaves the range of doubles
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, e: s + e * e))
-    del norm
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.any_value("v").alias("v")
+        F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.any_value("v").alias("vec")
     )
-    nodes = nodes.select("node", "copies", "first", F.transform(scaled, lambda e: e / length).alias("vec"))
     nodes = materialise(nodes, "vectors")
     n = nodes.count()
     if n:
         picked = nodes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
-        x = np.array([r.vec for r in picked])
+        x = unit(np.array([r.vec for r in picked]))
         lists = int(min(most_lists, max(1, round(n**0.5)), max(1, len(x) // 8)))
         q = fit(x, lists, min(subspaces, usual), cosine)
         found = _search(nodes, q, cosine, probes, block)
