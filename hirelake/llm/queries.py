@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import jaccard, mixing, packing, pii, quality, substrings, token_output, toxicity, vectors
+from hirelake.llm import jaccard, mixing, packing, pii, quality, quotes, substrings, token_output, toxicity, vectors
+from hirelake.llm.quotes_sql import QUOTES_SQL
 from hirelake.session import run_folder
 
 QUERIES = {}
@@ -53,6 +54,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op5_quotation_linking", QUOTES_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.linked_messages(table(spark, folder, "conversations"))
+
+
 MIXING_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
