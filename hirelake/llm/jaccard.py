@@ -193,11 +193,14 @@ def _in_groups(rows: DataFrame, key: list[Column], per_group: int) -> DataFrame:
     return rows.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
 
 
-def candidate_links(sets: DataFrame, threshold: float, least: float, bucket_limit: int, depth: int, per_group: int) -> DataFrame:
+def candidate_links(
+    sets: DataFrame, threshold: float, least: float, bucket_limit: int, block_limit: int, depth: int, per_group: int
+) -> DataFrame:
     """Links (a, b) that connect all pairs of sets which met in a bucket and whose sketches are similar enough.
 
-    `sets` has one row per node. Buckets above `bucket_limit` go one step deeper, up to `depth` steps; what is still
-    larger then is cut into blocks of the limit, and every two blocks meet in a bucket of their own.
+    `sets` has one row per node. Buckets above `bucket_limit` go one step deeper, up to `depth` steps. What is still larger
+    then are near copies, which cost little more than a comparison per member (see `bucket_links`); above `block_limit`
+    they are cut into blocks, and every two blocks meet in a bucket of their own.
     """
     sketches = sets.select("node", "sketch")
     rows = sets.select(F.explode("paths").alias("path"), "node").distinct()
@@ -211,7 +214,7 @@ def candidate_links(sets: DataFrame, threshold: float, least: float, bucket_limi
             large = met.filter(F.col("m") > bucket_limit).join(sketches, "node")
             rows = deeper(large, threshold).distinct()
             continue
-        blocks = F.ceil(F.col("m") / bucket_limit).cast("int")
+        blocks = F.ceil(F.col("m") / block_limit).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         cut = met.withColumns({"blocks": blocks, "own": own}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cell = F.xxhash64("path", F.least("own", "with"), F.greatest("own", "with"))
@@ -283,6 +286,7 @@ def jaccard_classes(
     recall: float = 0.9999,
     depth: int = 3,
     bucket_limit: int = 256,
+    block_limit: int = 4096,
     slack: float = 0.2,
     per_group: int = 4_000,
 ) -> DataFrame:
@@ -312,7 +316,7 @@ def jaccard_classes(
         F.count("*").alias("copies"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths")
     )
     nodes = materialise(nodes, "nodes")
-    near = materialise(candidate_links(nodes, threshold, threshold - slack, bucket_limit, depth, per_group), "near")
+    near = materialise(candidate_links(nodes, threshold, threshold - slack, bucket_limit, block_limit, depth, per_group), "near")
     together = components(near)
     sizes = together.groupBy("component").agg(F.count("*").alias("m"))
     members = (
