@@ -23,7 +23,9 @@ from hirelake.session import cut_lineage
 TITLE_SIMILARITY = 0.9
 CITY_LIMIT, COUNTRY_LIMIT, RAW_LIMIT = 120, 8, 200
 
-ORDER = ["company_id", "pos", "url"]  # identifies one incoming row and orders the batch
+# Orders the batch and identifies one row of it. `tie` parts rows of one company, place and URL (two spellings of a board);
+# rows alike in all four are exact repeats.
+ORDER = ["company_id", "pos", "url", "tie"]
 
 
 def dedup_key(title: Column, places: Column, location: Column, unicode_fold: bool = False) -> Column:
@@ -44,14 +46,24 @@ def content_hash(places: Column, columns: list[str] = CONTENT_COLUMNS) -> Column
 
 
 def with_identity(incoming: DataFrame, unicode_fold: bool = False) -> DataFrame:
-    return incoming.withColumns(
-        {
-            "dedup_key": dedup_key(F.col("title"), F.col("places"), F.col("location"), unicode_fold),
-            "content_hash": content_hash(F.col("places")),
-        }
+    return with_tie(
+        incoming.withColumns(
+            {
+                "dedup_key": dedup_key(F.col("title"), F.col("places"), F.col("location"), unicode_fold),
+                "content_hash": content_hash(F.col("places")),
+            }
+        )
     )
 
 
+def with_tie(incoming: DataFrame) -> DataFrame:
+    """The last part of ORDER: board, external id and content, never null."""
+    if "tie" in incoming.columns:
+        return incoming
+    parts = [c for c in ("source", "external_id", "content_hash") if c in incoming.columns]
+    return incoming.withColumn("tie", F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in parts]))
+
+
 # --- near duplicates ----------------------------------------------------------------
 
 
@@ -179,6 +191,7 @@ def match_incoming(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     one join on company with an OR behind it, which would test every pair inside a company. Several
     matches: url before id before key, then first in the batch.
     """
+    incoming = with_tie(incoming)
     sides = []
     for rank, key in enumerate(MATCH_KEYS):
         s = stored.select("id", "company_id", F.col(key).alias("_k")).dropna(subset=["_k"])
@@ -198,13 +211,17 @@ def match_incoming(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def insert_new(incoming: DataFrame, stored: DataFrame, seen_at: Column, new_id: Column) -> DataFrame:
-    """Rows of the batch that collide with no stored row and no earlier row of the batch."""
-    fresh = incoming
+    """Rows of the batch that collide with no stored row and no earlier row of the batch.
+
+    One board may stand under several companies: the order of the batch starts with the company, so the rows of one never
+    shut out those of another. Exact repeats count once.
+    """
+    fresh = with_tie(incoming)
     for key in MATCH_KEYS:
         taken = stored.select("company_id", key).dropna()
         fresh = fresh.join(taken, ["company_id", key], "left_anti")
-    fresh = first_wins(fresh, [["company_id", k] for k in MATCH_KEYS], F.struct("pos", "url"), cut_lineage)
-    return fresh.withColumns({"id": new_id, "created_at": seen_at})
+    fresh = first_wins(fresh, [["company_id", k] for k in MATCH_KEYS], F.struct(*ORDER), cut_lineage)
+    return fresh.select(*incoming.columns).withColumns({"id": new_id, "created_at": seen_at})
 
 
 def merge_changed(stored: DataFrame, incoming: DataFrame, matches: DataFrame, seen_at: Column) -> DataFrame:
@@ -213,7 +230,7 @@ def merge_changed(stored: DataFrame, incoming: DataFrame, matches: DataFrame, se
     Where the digest differs, each content column takes the incoming value if there is one. Every
     matched row is marked as seen and re-opened, changed or not.
     """
-    content = incoming.select(
+    content = with_tie(incoming).dropDuplicates(ORDER).select(
         *ORDER, *[F.col(c).alias(f"v_{c}") for c in CONTENT_COLUMNS], F.col("content_hash").alias("v_content_hash")
     )
     # Unmatched stored rows carry no incoming row to look up.
@@ -322,7 +339,7 @@ def ingest_batch(
         with_identity(incoming, unicode_fold), stored, threshold, guard_level_tokens, unicode_fold
     )
     # Read by the insert, the three matches and the merge: computed once.
-    prepared = cut_lineage(prepared)
+    prepared = cut_lineage(prepared.dropDuplicates(ORDER))
     new = insert_new(prepared, stored, seen_at, new_id)
     blank = {
         # A new row goes in without a digest, so the merge below writes its places as well.

@@ -29,10 +29,11 @@ def first_wins(
     row that is the first of all its keys, and every row one of those shuts out; a row waits for the
     next round only when what blocks it was itself blocked. Rounds go on until none waits, so the
     answer is exact; listings need one or two. Per-key firsts are plain aggregates joined back, so a
-    hot key is combined map-side and its join is split by the skew rule.
+    hot key is combined map-side and its join is split by the skew rule. `order` names one row: rows that are equal in it
+    are taken for repeats, of which one takes part.
     """
     kept: list[DataFrame] = []
-    waiting = df.withColumn("_at", order)
+    waiting = df.withColumn("_at", order).dropDuplicates(["_at"])
     while True:
         lead = waiting
         for i, key in enumerate(keys):

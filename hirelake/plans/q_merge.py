@@ -116,6 +116,45 @@ def insert_new(d: Domain) -> DataFrame:
     return new.select("id", "title", "url", "location")
 
 
+# One board under two companies, chains of rows that shut each other out, exact repeats and two spellings of a board. The
+# oracle walks each company's rows one by one and keeps a row if none of its keys was taken.
+SHARED_SQL = """
+WITH RECURSIVE part AS (SELECT id // 100000 AS k, company_id FROM posting),
+rows AS (
+  SELECT company_id + o AS company_id, k AS pos, 'u' || (k % 40) AS url, CASE WHEN k % 5 > 0 THEN 'e' || (k // 7 % 30) END AS external_id,
+    'k' || (k // 3 % 50) AS dedup_key, 'board' || s AS source
+  FROM part, (VALUES (0), (500000)) AS a(o), (VALUES (''), ('/')) AS b(s) WHERE s = '' OR k % 11 = 0),
+numbered AS (
+  SELECT *, list_filter(['u:' || url, 'e:' || external_id, 'k:' || dedup_key], lambda x: x IS NOT NULL) AS keys,
+    row_number() OVER (PARTITION BY company_id ORDER BY pos, url, source) AS n FROM rows),
+walk AS (
+  SELECT DISTINCT company_id, 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::BIGINT AS pos FROM rows
+  UNION ALL
+  SELECT w.company_id, r.n, CASE WHEN list_has_any(w.used, r.keys) THEN w.used ELSE list_concat(w.used, r.keys) END,
+    CASE WHEN NOT list_has_any(w.used, r.keys) THEN r.pos END
+  FROM walk w JOIN numbered r ON r.company_id = w.company_id AND r.n = w.n + 1)
+SELECT company_id, pos FROM walk WHERE pos IS NOT NULL"""
+
+
+@query("insert_new_shared_boards", SHARED_SQL)
+def insert_new_shared_boards(d: Domain) -> DataFrame:
+    k = F.floor(F.col("id") / 100000)
+    rows = d.postings.select(k.alias("pos"), "company_id")
+    rows = rows.unionByName(rows.filter("pos % 9 = 0"))
+    sources = F.when(F.col("pos") % 11 == 0, F.array(F.lit("board"), F.lit("board/"))).otherwise(F.array(F.lit("board")))
+    companies = F.explode(F.array(F.col("company_id"), F.col("company_id") + 500000))
+    rows = rows.select("pos", companies.alias("company_id"), sources.alias("sources"))
+    rows = rows.select("pos", "company_id", F.explode("sources").alias("source"))
+    keyed = rows.withColumns(
+        {
+            "url": F.concat(F.lit("u"), F.col("pos") % 40),
+            "external_id": F.when(F.col("pos") % 5 > 0, F.concat(F.lit("e"), F.floor(F.col("pos") / 7) % 30)),
+            "dedup_key": F.concat(F.lit("k"), F.floor(F.col("pos") / 3) % 50),
+        }
+    )
+    return m.insert_new(keyed, d.stored, seen(), F.col("pos")).select("company_id", "pos")
+
+
 MERGED = f"""SELECT s.id, m.pos IS NOT NULL AS seen, m.pos IS NOT NULL AND s.content_hash IS DISTINCT FROM v.content_hash AS changed,
   s.title AS old_title, v.title AS new_title, s.department AS old_dep, v.department AS new_dep, s.closed_at AS old_closed, s.content_hash AS old_hash,
   v.content_hash AS new_hash, s.updated_at AS old_updated, s.last_seen_at AS old_seen, s.salary_max AS old_max, v.salary_max AS new_max

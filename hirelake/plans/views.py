@@ -150,6 +150,7 @@ def sql(body: str) -> str:
     body = body.strip()
     if not needed:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return f"{lead}{ctes},\n{body[len(lead):]}"
     return f"WITH {ctes}\n{body}"

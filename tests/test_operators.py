@@ -125,8 +125,8 @@ def test_snapshots(spark, tmp_path):
     assert tables.read_snapshot(spark, path).count() == 5 and tables.read_snapshot(spark, path, "a").count() == 3
 
 
-def land(root, token, page, jobs):
-    folder = root / "platform=ashby" / f"token={token}" / f"page={page}"
+def land(root, token, page, jobs, cycle, pages):
+    folder = root / "platform=ashby" / f"token={token}" / f"cycle={cycle}" / f"pages={pages}" / f"page={page}"
     folder.mkdir(parents=True)
     (folder / "body.json").write_text(json.dumps({"jobs": jobs}))
 
@@ -134,7 +134,7 @@ def land(root, token, page, jobs):
 def test_streamed_cycles(spark, tmp_path):
     job = lambda i, title: {"id": f"j{i}", "title": title, "jobUrl": f"https://jobs.ashbyhq.com/acme/{i}", "location": "Paris, France"}
     root = tmp_path / "landed"
-    land(root, "acme", 1, [job(1, "Data Engineer"), job(2, "Backend Engineer"), job(3, "Sign in")])
+    land(root, "acme", 1, [job(1, "Data Engineer"), job(2, "Backend Engineer"), job(3, "Sign in")], 1, 2)
     d = Domain(spark, FOLDER)
     store = si.Store(str(tmp_path / "store"))
     tables.write_snapshot(d.stored.limit(0).withColumn("id", F.col("id").cast("string")), store.postings, "seed")
@@ -144,9 +144,9 @@ def test_streamed_cycles(spark, tmp_path):
     told = []
 
     def cycle():
-        stream = spark.readStream.schema("value string, platform string, token string, page int").option("wholetext", True).text(str(root))
+        stream = spark.readStream.schema("value string, platform string, token string, cycle string, pages int, page int").option("wholetext", True).text(str(root))
         answers = stream.select(
-            "platform", F.concat_ws("/", "platform", "token").alias("board_url"), "token", "page", F.col("value").alias("payload")
+            "platform", F.concat_ws("/", "platform", "token").alias("board_url"), "token", "cycle", "pages", "page", F.col("value").alias("payload")
         )
         run = si.stream_ingest(
             answers, store, boards, lambda n: f"2024-01-0{n + 1}", str(tmp_path / "state"), lambda rows, *_: told.append(rows.count())
@@ -156,16 +156,23 @@ def test_streamed_cycles(spark, tmp_path):
 
     first = cycle()
     assert set(first) == {"j1", "j2"} and told == [2]
-    land(root, "acme", 2, [job(2, "Backend Engineer"), job(4, "QA Engineer")])
+    # The second page of the same read closes nothing that the first one lists.
+    land(root, "acme", 2, [job(2, "Backend Engineer"), job(4, "QA Engineer")], 1, 2)
     second = cycle()
     assert set(second) == {"j1", "j2", "j4"} and told == [2, 1]
-    assert second["j1"].closed_reason == "REMOVED_FROM_LISTING" and second["j2"].closed_at is None
+    assert all(r.closed_at is None for r in second.values())
     assert second["j2"].last_seen_at > first["j2"].last_seen_at
+    # Half of the next read still closes nothing; its other half does.
+    land(root, "acme", 1, [job(2, "Backend Engineer")], 2, 2)
+    assert all(r.closed_at is None for r in cycle().values())
+    land(root, "acme", 2, [job(5, "Data Analyst")], 2, 2)
+    fourth = cycle()
+    assert {i: r.closed_reason for i, r in fourth.items() if r.closed_at} == dict.fromkeys(["j1", "j4"], "REMOVED_FROM_LISTING")
     # The last batch run again gives the same version.
-    answers = listings.load_landed(spark, str(root)).filter("page = 2")
-    si.ingest_micro_batch(store, boards, lambda n: f"2024-01-0{n + 1}")(answers, 1)
+    answers = listings.load_landed(spark, str(root)).filter("cycle = 2 AND page = 2")
+    si.ingest_micro_batch(store, boards, lambda n: f"2024-01-0{n + 1}")(answers, 3)
     again = {r.external_id: r for r in tables.read_snapshot(spark, store.postings).collect()}
-    assert again == second
+    assert again == fourth
 
 
 def test_run_folder_is_fresh(spark):
