@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.dictionaries import CITIES, COUNTRIES, STATES
-from hirelake.functions.text import WS, clean_value, decode_entities, fold_place, squeeze, trim_edges, trim_ws, words
+from hirelake.functions.text import WS, clean_value, decode_entities, first_of, fold_place, squeeze, trim_edges, trim_ws, words
 
 # --- fixed values: patterns and limits ----------------------------------------------
 SEPARATORS = r"\s*(?:;|\||/|\bor\b|\bou\b|\band\b|\bet\b|•|·)\s*"
@@ -22,9 +22,6 @@ SEVERAL_PLACES = (
     r"^(multiple locations|various locations|several locations|other|n\/?a|tbd|flexible|worldwide"
     r"|global|emea|apac|amer|latam|europe|international)$"
 )
-MAX_PLACE_LENGTH = 120
-MAX_PLACES = 20
-MAX_LABELS = 4
 FIELD_LABELS = r"^(location|lieu|standort|ubicación)$"
 
 _PLACE_TYPE = "array<struct<city:string,region:string,country:string,raw:string,remote:string>>"
@@ -63,11 +60,11 @@ def _model_of(c: Column) -> Column:
 
 
 def _names_a_place(c: Column) -> Column:
-    return (F.length(c) > 0) & (F.length(c) <= MAX_PLACE_LENGTH) & ~c.rlike(words(SEVERAL_PLACES))
+    return (F.length(c) > 0) & ~c.rlike(words(SEVERAL_PLACES))
 
 
 def with_places(df: DataFrame, values: Column, out: str = "places") -> DataFrame:
-    """Add `out`: the distinct places named by an array of raw strings, in order, at most 20."""
+    """Add `out`: the distinct places named by an array of raw strings, in order."""
     s = "_place_step"
     chunks = F.flatten(
         F.transform(
@@ -239,10 +236,10 @@ def with_places(df: DataFrame, values: Column, out: str = "places") -> DataFrame
         s,
         lambda v, i: F.array_position(F.col(key), F.element_at(F.col(key), i + 1)) == i + 1,
     )
-    return df.withColumn(out, F.slice(first, 1, MAX_PLACES)).drop(s, key)
+    return df.withColumn(out, first).drop(s, key)
 
 
-def format_places(places: Column) -> Column:
+def format_places(places: Column, most: int | None = None) -> Column:
     """One display line: at most four distinct labels."""
     labels = F.transform(
         places,
@@ -256,7 +253,7 @@ def format_places(places: Column) -> Column:
         .when(v["remote"].isNotNull(), "Hybrid")
         .otherwise(F.coalesce(v["region"], v["country"], v["raw"])),
     )
-    joined = F.array_join(F.slice(F.array_distinct(labels), 1, MAX_LABELS), " · ")
+    joined = F.array_join(first_of(F.array_distinct(labels), most), " · ")
     return F.nullif(joined, F.lit(""))
 
 
@@ -267,4 +264,4 @@ def clean_location(c: Column) -> Column:
 
 
 def _fits(value: Column) -> Column:
-    return F.length(value).between(1, MAX_PLACE_LENGTH) & ~value.rlike(words(FIELD_LABELS))
+    return (F.length(value) > 0) & ~value.rlike(words(FIELD_LABELS))

@@ -11,26 +11,25 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hirelake.functions.text import first_of
+
 # --- fixed values -----------------------------------------------------------------
 ZONE_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 TERM_BREAK = r"[^\p{L}\p{N}+#.]+"
-MAX_SEARCH_TERMS = 8
-MAX_PROFILE_TERMS = 40
 
 _START = r"(?:\A|[^\p{L}\p{N}+#.])[.+#]*"
 _END = r"[.+#]*(?=\z|[^\p{L}\p{N}+#.])"
 
 
-def query_terms(text: str, limit: int = MAX_SEARCH_TERMS) -> list[str]:
-    """Terms of one query string."""
+def query_terms(text: str, limit: int | None = None) -> list[str]:
+    """Terms of one query string, all or the first `limit`."""
     raw = re.split(r"[^\w+#.]+|_", text.lower())
     return [t for t in (x.strip(".+#") for x in raw) if t][:limit]
 
 
-def profile_terms(values: list[str]) -> list[str]:
-    """Distinct terms of a keyword list; the cut at 40 comes before the distinct."""
-    terms = [t for v in values for t in query_terms(v, 1 << 30)][:MAX_PROFILE_TERMS]
-    return list(dict.fromkeys(terms))
+def profile_terms(values: list[str], limit: int | None = None) -> list[str]:
+    """Distinct terms of a keyword list, all or the first `limit`."""
+    return list(dict.fromkeys(t for v in values for t in query_terms(v)))[:limit]
 
 
 def terms_of(text: Column) -> Column:
@@ -41,10 +40,10 @@ def terms_of(text: Column) -> Column:
     )
 
 
-def profile_terms_of(values: Column) -> Column:
+def profile_terms_of(values: Column, limit: int | None = None) -> Column:
     """Column form of `profile_terms`."""
     terms = F.flatten(F.transform(F.coalesce(values, F.array().cast("array<string>")), terms_of))
-    return F.array_distinct(F.slice(terms, 1, MAX_PROFILE_TERMS))
+    return first_of(F.array_distinct(terms), limit)
 
 
 def _any_of(terms: list[str]) -> str:

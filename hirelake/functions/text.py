@@ -135,12 +135,17 @@ def looks_like_html(c: Column) -> Column:
     return c.rlike(words(r"<(p|div|br|ul|ol|li|h[1-6]|strong|em|span|table)\b[^>]*>"))
 
 
-def clip(c: Column, n: int) -> Column:
-    """First n characters; an empty result is NULL."""
-    return F.nullif(F.substring(c, 1, n), F.lit(""))
+def clip(c: Column, n: int | None = None) -> Column:
+    """The text, or its first n characters; an empty result is NULL."""
+    return F.nullif(c if n is None else F.substring(c, 1, n), F.lit(""))
 
 
-def clean_list(c: Column, cap: int) -> Column:
-    """Trimmed, non-empty, distinct in order, at most `cap`; NULL reads as empty."""
+def first_of(c: Column, n: int | None = None) -> Column:
+    """The list, or its first n items."""
+    return c if n is None else F.slice(c, 1, n)
+
+
+def clean_list(c: Column, cap: int | None = None) -> Column:
+    """Trimmed, non-empty, distinct in order, all or at most `cap`; NULL reads as empty."""
     kept = F.filter(F.transform(c, trim_ws), lambda x: F.length(x) > 0)
-    return F.coalesce(F.slice(F.array_distinct(kept), 1, cap), F.array().cast("array<string>"))
+    return F.coalesce(first_of(F.array_distinct(kept), cap), F.array().cast("array<string>"))

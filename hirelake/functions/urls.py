@@ -39,7 +39,7 @@ def _form_decoded(c: Column) -> Column:
 
 def _kept_query(query: Column) -> Column:
     """Parameters without tracking keys, sorted by key, re-encoded; '' when none is left."""
-    pairs = F.filter(F.split(F.substring(query, 2, 1 << 20), "&"), lambda p: F.length(p) > 0)
+    pairs = F.filter(F.split(F.substr(query, F.lit(2)), "&"), lambda p: F.length(p) > 0)
     keyed = F.transform(
         pairs,
         lambda p, i: F.struct(

@@ -17,7 +17,6 @@ from hirelake.schema import APPLICATION_STATUSES, COMPANY_STATUSES
 APPLICATION_SORTS = ["created_at", "updated_at", "company", "position", "salary_min", "salary_max", "city", "country"]
 SUGGESTION_SIMILARITY = 0.3
 SUGGESTION_LIMIT = 20
-PLACE_SUGGESTION_LIMIT = 50
 OWN_PLACE_WEIGHT = 10
 
 
@@ -146,9 +145,9 @@ def suggest_companies(companies: DataFrame, watches: DataFrame, user_id, text: s
         companies.join(mine, "id", "left")
         .filter((F.col("status") == "APPROVED") | F.col("_mine"))
         .select("id", "name", sim.alias("similarity"))
-        .filter((F.col("similarity") > SUGGESTION_SIMILARITY) | F.contains(F.lower("name"), F.lit(wanted.lower())))
+        .filter((F.col("similarity") >= SUGGESTION_SIMILARITY) | F.contains(F.lower("name"), F.lit(wanted.lower())))
         .orderBy(F.col("similarity").desc(), "name", "id")
-        .limit(min(limit or SUGGESTION_LIMIT, SUGGESTION_LIMIT))
+        .limit(limit or SUGGESTION_LIMIT)
     )
 
 
@@ -173,7 +172,7 @@ def location_suggestions(applications: DataFrame, places: DataFrame, user_id, te
         .groupBy("city", "country")
         .agg(F.sum("uses").alias("uses"))
         .orderBy(F.col("uses").desc(), F.col("city") == "", "city", "country")
-        .limit(min(max(limit, 1), PLACE_SUGGESTION_LIMIT))
+        .limit(max(limit, 1))
     )
 
 

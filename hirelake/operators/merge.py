@@ -21,7 +21,6 @@ from hirelake.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------
 TITLE_SIMILARITY = 0.9
-CITY_LIMIT, COUNTRY_LIMIT, RAW_LIMIT = 120, 8, 200
 
 # Orders the batch and identifies one row of it. `tie` parts rows of one company, place and URL (two spellings of a board);
 # rows alike in all four are exact repeats.
@@ -278,18 +277,15 @@ def touch_seen(stored: DataFrame, matches: DataFrame, seen_at: Column) -> DataFr
 
 
 def place_rows(places: DataFrame) -> DataFrame:
-    """(posting_id, places) to clamped child rows, one per (posting, city, region, country)."""
+    """(posting_id, places) to child rows, one per (posting, city, region, country)."""
     p = F.col("p")
-
-    def clamped(field: str, n: int) -> Column:
-        return F.substring(F.coalesce(p[field], F.lit("")), 1, n)
-
+    given = lambda field: F.coalesce(p[field], F.lit(""))
     rows = places.select("posting_id", F.posexplode("places").alias("at", "p")).select(
         "posting_id",
-        clamped("city", CITY_LIMIT).alias("city"),
-        clamped("region", CITY_LIMIT).alias("region"),
-        F.upper(clamped("country", COUNTRY_LIMIT)).alias("country"),
-        F.struct("at", clamped("raw", RAW_LIMIT).alias("raw")).alias("first"),
+        given("city").alias("city"),
+        given("region").alias("region"),
+        F.upper(given("country")).alias("country"),
+        F.struct("at", given("raw").alias("raw")).alias("first"),
     )
     return (
         rows.groupBy("posting_id", "city", "region", "country")

@@ -12,38 +12,37 @@ from hirelake.functions.places import clean_location, format_places, with_places
 from hirelake.functions.text import clip, looks_like_html, strip_html
 from hirelake.operators.rows import top_per_key
 
-# --- fixed values: length limits ------------------------------------------------------
-MAX_HTML = 60_000
-MAX_TEXT = 20_000
-SALARY_SCOPE = 4_000
-EMPLOYMENT_SCOPE = 400
-
 RICHNESS_FIELDS = [
     "description", "description_html", "location", "department", "posted_at", "valid_through",
     "salary_min", "employment_type", "remote_type", "external_id",
 ]
 
 
-def pick_description(df: DataFrame) -> DataFrame:
-    """Replace description / description_html by cleaned text and safe markup."""
+def pick_description(df: DataFrame, max_text: int | None = None, max_html: int | None = None) -> DataFrame:
+    """Replace description / description_html by cleaned text and safe markup, whole unless a length is given."""
     html = F.coalesce(
         F.col("description_html"), F.when(looks_like_html(F.col("description")), F.col("description"))
     )
     text = F.coalesce(F.col("description"), html)
     return df.withColumns(
         {
-            "description_html": clip(sanitize_html(html), MAX_HTML),
-            "description": clip(strip_html(text), MAX_TEXT),
+            "description_html": clip(sanitize_html(html), max_html),
+            "description": clip(strip_html(text), max_text),
         }
     )
 
 
-def normalise_postings(listings: DataFrame, as_of: Column) -> DataFrame:
-    """Every usable raw job in normal form; unusable titles and URLs are dropped first."""
+def normalise_postings(
+    listings: DataFrame, as_of: Column, max_text: int | None = None, max_html: int | None = None
+) -> DataFrame:
+    """Every usable raw job in normal form; unusable titles and URLs are dropped first.
+
+    Texts are kept and searched whole; the two lengths cut what is stored, for callers that want that.
+    """
     df = listings.withColumns(
         {"title": roles.clean_title(F.col("title")), "url": urls.normalise_url(F.col("url"))}
     ).filter(roles.is_plausible_title(F.col("title")) & F.col("url").rlike(r"(?i)\Ahttps?://"))
-    df = pick_description(df)
+    df = pick_description(df, max_text, max_html)
     df = with_places(
         df,
         F.concat(F.coalesce(F.col("locations"), F.array().cast("array<string>")), F.array("location")),
@@ -60,7 +59,7 @@ def normalise_postings(listings: DataFrame, as_of: Column) -> DataFrame:
                     stated_min.alias("min"), stated_max.alias("max"),
                     F.col("salary_currency").alias("currency"),
                 ),
-            ).otherwise(roles.parse_salary(F.substring(F.col("description"), 1, SALARY_SCOPE))),
+            ).otherwise(roles.parse_salary(F.col("description"))),
         }
     )
     place_model = F.get(F.filter("places", lambda p: p["remote"].isNotNull()), F.lit(0))["remote"]
@@ -79,9 +78,7 @@ def normalise_postings(listings: DataFrame, as_of: Column) -> DataFrame:
         "department",
         F.coalesce("domain", roles.classify_domain(F.col("title"), F.col("department"))).alias("domain"),
         F.coalesce("seniority", roles.classify_seniority(F.col("title"))).alias("seniority"),
-        roles.normalise_employment(
-            F.col("employment_type"), F.col("title"), F.substring(F.col("description"), 1, EMPLOYMENT_SCOPE)
-        ).alias("employment_type"),
+        roles.normalise_employment(F.col("employment_type"), F.col("title"), F.col("description")).alias("employment_type"),
         F.coalesce("remote", roles.is_remote(*labels)).alias("remote"),
         F.coalesce("remote_type", place_model, roles.normalise_remote(F.col("remote"), *labels)).alias("remote_type"),
         F.col("_pay.min").alias("salary_min"),

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import clean_list, trim_ws
 from hirelake.operators.resume import extract_keywords, normalise_resume_text
 
-# --- fixed values: list caps ----------------------------------------------------------
-LIST_CAPS = {
-    "countries": 50, "cities": 50, "motivations": 20, "keywords": 40, "titles": 20,
-    "required_keywords": 10, "excluded_keywords": 40,
-}
+CLEANED_LISTS = ["countries", "cities", "motivations", "keywords", "titles", "required_keywords", "excluded_keywords"]
 PLAIN_LISTS = ["employment_types", "remote_types", "domains", "seniorities", "industries", "excluded_company_ids"]
 # Profile field, label shown to the user.
 FILLED_FROM_CV = [
@@ -21,21 +17,22 @@ FILLED_FROM_CV = [
 ]
 
 
-def cleaned(name: str) -> Column:
+def cleaned(name: str, cap: int | None = None) -> Column:
+    """A wish list without blanks and repeats, all of it or at most `cap` items."""
     c = F.col(name)
     if name == "countries":
         c = F.transform(c, F.upper)
-    return clean_list(c, LIST_CAPS[name]) if name in LIST_CAPS else F.array_distinct(c)
+    return clean_list(c, cap) if name in CLEANED_LISTS else F.array_distinct(c)
 
 
-def update_profile(preferences: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:
+def update_profile(preferences: DataFrame, patches: DataFrame, as_of: Column, caps: dict[str, int] | None = None) -> DataFrame:
     """Preferences after partial updates, one patch per user; a NULL field leaves the stored value.
 
-    Lists are cleaned on the way in; a new CV text re-derives the resume keywords; zero clears a
+    Lists are cleaned on the way in, and cut where `caps` names a length; a new CV text re-derives the resume keywords; zero clears a
     number and an empty text clears a text.
     """
     have = set(patches.columns)
-    new: dict[str, Column] = {n: cleaned(n) for n in [*LIST_CAPS, *PLAIN_LISTS] if n in have}
+    new: dict[str, Column] = {n: cleaned(n, (caps or {}).get(n)) for n in [*CLEANED_LISTS, *PLAIN_LISTS] if n in have}
     if "salary_currency" in have:
         new["salary_currency"] = F.upper(trim_ws(F.col("salary_currency")))
     for n in ("min_salary", "max_age_days", "open_to_relocation", "weights", "notify_matches"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.places import with_places
 from hirelake.functions.roles import classify_domain, classify_seniority
-from hirelake.functions.text import WS, WS_CHARS, fold_accents, trim_ws, words
+from hirelake.functions.text import WS, WS_CHARS, first_of, fold_accents, trim_ws, words
 
 # --- fixed values: the skill list, in reading order ------------------------------------
 SKILLS = [
@@ -70,16 +70,13 @@ STUDENT = r"\b([eé]tudiant\w*|student|[eé]l[eè]ve\s+ing[eé]nieur|engineering
 LOCATION_HINT = r"^(location|localisation|adresse|address|based\s+in|bas[eé]\s+[àa]|ville|city)\s*:?\s*"
 CONTACT_NOISE = r"(\S+@\S+|https?:\/\/\S+|(?:www|linkedin|github)\.\S+|\+?\d[\d\s().-]{7,})"
 
-MAX_CV_TEXT = 40_000
-PROFILE_KEYWORDS, KEYWORD_LIMIT = 25, 40
-MAX_TITLES, MAX_CHOICES, HEAD_LINES = 6, 3, 12
-
 _TEXTS = "array<string>"
 
 
-def normalise_resume_text(c: Column) -> Column:
+def normalise_resume_text(c: Column, length: int | None = None) -> Column:
     t = F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), r"[ \t]+", " ")
-    return F.substring(trim_ws(F.regexp_replace(t, "\n{3,}", "\n\n")), 1, MAX_CV_TEXT)
+    whole = trim_ws(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    return whole if length is None else F.substring(whole, 1, length)
 
 
 def skill_pattern(skill: str) -> str:
@@ -87,14 +84,14 @@ def skill_pattern(skill: str) -> str:
     return rf"(?:\A|[^{edge}]){re.escape(skill).replace('/', '[/]')}(?:[^{edge}]|\z)"
 
 
-def extract_keywords(text: Column, limit: int = KEYWORD_LIMIT) -> Column:
-    """Known skills the text names, in list order, at most `limit`."""
+def extract_keywords(text: Column, limit: int | None = None) -> Column:
+    """Known skills the text names, in list order, all or at most `limit`."""
     lower = F.lower(text)
     found = F.filter(
         F.array(*[F.struct(F.lit(s).alias("s"), lower.rlike(skill_pattern(s)).alias("hit")) for s in SKILLS]),
         lambda x: x["hit"],
     )
-    return F.slice(F.transform(found, lambda x: x["s"]), 1, limit)
+    return first_of(F.transform(found, lambda x: x["s"]), limit)
 
 
 def _lines(text: Column) -> Column:
@@ -127,8 +124,8 @@ def _title_text(line: Column) -> Column:
     return trim_ws(F.regexp_replace(t, rf"[,;:.{WS_CHARS}]+\z", ""))
 
 
-def with_titles(df: DataFrame) -> DataFrame:
-    """Adds `roles` (struct<title, domain, seniority>, six at most, distinct by folded text)."""
+def with_titles(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Adds `roles` (struct<title, domain, seniority>, all or `most`, distinct by folded text)."""
     readable = F.filter(
         "scope",
         lambda v: (F.length(v) <= 90)
@@ -158,11 +155,11 @@ def with_titles(df: DataFrame) -> DataFrame:
     first = F.filter(
         "_t", lambda t, i: F.array_position(F.col("_keys"), F.element_at(F.col("_keys"), i + 1)) == i + 1
     )
-    return df.withColumn("roles", F.slice(first, 1, MAX_TITLES)).drop("_t", "_keys")
+    return df.withColumn("roles", first_of(first, most)).drop("_t", "_keys")
 
 
-def top_domains(titles: Column) -> Column:
-    """The three domains most titles share; the first seen wins a tie."""
+def top_domains(titles: Column, most: int | None = None) -> Column:
+    """The domains of the titles, those that most share first; the first seen wins a tie."""
     domains = F.transform(titles, lambda t: t["domain"])
     counted = F.transform(
         F.array_distinct(domains),
@@ -170,7 +167,7 @@ def top_domains(titles: Column) -> Column:
             (-F.size(F.filter(domains, lambda x: x == d))).alias("n"), F.array_position(domains, d).alias("at"), d.alias("d")
         ),
     )
-    return F.slice(F.transform(F.array_sort(counted), lambda c: c["d"]), 1, MAX_CHOICES)
+    return first_of(F.transform(F.array_sort(counted), lambda c: c["d"]), most)
 
 
 def years_of_experience(scope: Column, as_of: Column) -> Column:
@@ -192,7 +189,7 @@ def years_of_experience(scope: Column, as_of: Column) -> Column:
     return F.when(span.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(50), span)))
 
 
-def seniorities(titles: Column, years: Column, text: Column) -> Column:
+def seniorities(titles: Column, years: Column, text: Column, most: int | None = None) -> Column:
     """Levels the titles state; students start at the bottom; years only where titles say nothing."""
     stated = F.filter(F.transform(titles, lambda t: t["seniority"]), lambda s: s.isNotNull())
     student = text.rlike(words(STUDENT)) | F.array_contains(stated, "INTERN")
@@ -206,21 +203,22 @@ def seniorities(titles: Column, years: Column, text: Column) -> Column:
         .otherwise(F.array().cast(_TEXTS))
     )
     levels = F.when(student, F.concat(pair("INTERN", "JUNIOR"), stated)).when(F.size(stated) > 0, stated).otherwise(by_years)
-    return F.slice(F.array_distinct(levels), 1, MAX_CHOICES)
+    return first_of(F.array_distinct(levels), most)
 
 
-def contracts(text: Column) -> Column:
+def contracts(text: Column, most: int | None = None) -> Column:
     found = F.array(*[F.when(text.rlike(words(p)), label) for p, label in CONTRACT_PATTERNS])
-    return F.slice(F.array_compact(found), 1, MAX_CHOICES)
+    return first_of(F.array_compact(found), most)
 
 
-def with_cv_places(df: DataFrame) -> DataFrame:
-    """Adds `cities` and `countries` the CV names, head lines first; unrecognised cities are dropped."""
+def with_cv_places(df: DataFrame, head_lines: int | None = None, most: int | None = None) -> DataFrame:
+    """Adds `cities` and `countries` the CV names, in the order of its lines (or the first `head_lines`), lines that state
+    a place, experience; unrecognised cities are dropped."""
     hinted = F.filter("lines", lambda v: v.rlike(words(LOCATION_HINT)))
     noise = words(CONTACT_NOISE).replace(r"\S", f"[^{WS_CHARS}]")
     candidates = F.filter(
         F.transform(
-            F.concat(F.slice("lines", 1, HEAD_LINES), hinted, F.col("experience")),
+            F.concat(first_of(F.col("lines"), head_lines), hinted, F.col("experience")),
             lambda v: F.regexp_replace(F.regexp_replace(v, words(LOCATION_HINT), ""), noise, " "),
         ),
         lambda v: (F.length(trim_ws(v)) > 1) & (F.length(v) < 80),
@@ -230,8 +228,8 @@ def with_cv_places(df: DataFrame) -> DataFrame:
     cities = F.filter(F.transform(known, lambda p: p["city"]), lambda c: c.isNotNull())
     return df.withColumns(
         {
-            "cities": F.slice(F.array_distinct(cities), 1, MAX_CHOICES),
-            "countries": F.slice(F.array_distinct(F.transform(known, lambda p: F.upper(p["country"]))), 1, MAX_CHOICES),
+            "cities": first_of(F.array_distinct(cities), most),
+            "countries": first_of(F.array_distinct(F.transform(known, lambda p: F.upper(p["country"]))), most),
         }
     ).drop("_found")
 
@@ -250,6 +248,6 @@ def extract_profiles(cvs: DataFrame, as_of: Column, text: str = "text") -> DataF
         contracts(body).alias("employment_types"),
         "cities",
         "countries",
-        extract_keywords(body, PROFILE_KEYWORDS).alias("keywords"),
+        extract_keywords(body).alias("keywords"),
         F.col("years").alias("years_of_experience"),
     )

@@ -392,7 +392,7 @@ def search_tokens(d: Domain) -> DataFrame:
 
 @query(
     "to_terms",
-    """SELECT doc_id, len(t) AS terms, len(list_distinct(t[1:40])) AS profile_terms, md5(array_to_string(t, ' ')) AS digest FROM (
+    """SELECT doc_id, len(t) AS terms, len(list_distinct(t)) AS profile_terms, md5(array_to_string(t, ' ')) AS digest FROM (
     SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '[^\\p{L}\\p{N}+#.]+'), lambda w: trim(w, '.+#')), lambda w: w <> '') AS t FROM documents)""",
 )
 def to_terms(d: Domain) -> DataFrame:

@@ -55,7 +55,7 @@ def close_expired(d: Domain) -> DataFrame:
 @query(
     "find_stale",
     f"""SELECT id, url FROM posting p WHERE closed_at IS NULL AND (last_validated_at IS NULL OR last_validated_at < {NOW} - INTERVAL 48 HOUR)
-    ORDER BY CASE WHEN EXISTS (SELECT 1 FROM interaction i WHERE i.posting_id = p.id AND (i.saved OR i.application_id IS NOT NULL)) THEN 0 ELSE 1 END, last_validated_at ASC NULLS FIRST, id LIMIT 500""",
+    ORDER BY CASE WHEN EXISTS (SELECT 1 FROM interaction i WHERE i.posting_id = p.id AND (i.saved OR i.application_id IS NOT NULL)) THEN 0 ELSE 1 END, last_validated_at ASC NULLS FIRST, id LIMIT 9999""",
 )
 def find_stale(d: Domain) -> DataFrame:
     return lc.find_stale(d.postings, d.interactions, at(POSTINGS_AT), limit=9999)

@@ -186,7 +186,7 @@ _G = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(
     f"""WITH g AS (SELECT c.id, c.name, c.status, w.company_id AS mine, {_G.format('c.name')} AS a, {_G.format("'Supplier#000000042'")} AS b FROM company c
       LEFT JOIN (SELECT DISTINCT company_id FROM watch WHERE user_id = 8) w ON w.company_id = c.id)
     SELECT id, name, round(s, 9) AS similarity FROM (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS s FROM g)
-    WHERE (status = 'APPROVED' OR mine IS NOT NULL) AND (s > 0.3 OR contains(lower(name), 'supplier#000000042')) ORDER BY s DESC, name, id LIMIT 20""",
+    WHERE (status = 'APPROVED' OR mine IS NOT NULL) AND (s >= 0.3 OR contains(lower(name), 'supplier#000000042')) ORDER BY s DESC, name, id LIMIT 20""",
 )
 def suggest_companies(d: Domain) -> DataFrame:
     return li.suggest_companies(d.companies, d.watches, 8, " Supplier#000000042").withColumn("similarity", F.round("similarity", 9))

@@ -176,7 +176,7 @@ def teamtailor(d: Domain) -> DataFrame:
     strftime(valid_through, '%Y-%m-%d') AS valid_through, max(id // 100000 // {PAGE} + 1) OVER (PARTITION BY company_id) >= 20 AS partial FROM j""",
 )
 def read_listing_teamtailor(d: Domain) -> DataFrame:
-    return out(l.read_listing_teamtailor(teamtailor(d)), "description", "employment_type", "valid_through", "partial")
+    return out(l.read_listing_teamtailor(teamtailor(d), max_pages=20), "description", "employment_type", "valid_through", "partial")
 
 
 def personio(d: Domain) -> DataFrame:

@@ -180,7 +180,7 @@ def touch_seen(d: Domain) -> DataFrame:
 # Places: every third posting is sent with new places, one of them twice and over-long.
 SENT = """SELECT id AS posting_id, [{'city': 'Madrid', 'region': '', 'country': 'es', 'raw': 'Madrid, es'},
   {'city': 'Gent', 'region': repeat('r', 130), 'country': 'be', 'raw': repeat('x', 250)}, {'city': 'Gent', 'region': repeat('r', 140), 'country': 'BE', 'raw': 'late'}] AS places FROM posting WHERE id % 3 = 0"""
-SYNCED = f"""WITH sent AS ({SENT}), flat AS (SELECT posting_id, i, places[i].city AS city, substr(places[i].region, 1, 120) AS region, upper(places[i].country) AS country, substr(places[i].raw, 1, 200) AS raw
+SYNCED = f"""WITH sent AS ({SENT}), flat AS (SELECT posting_id, i, places[i].city AS city, places[i].region AS region, upper(places[i].country) AS country, places[i].raw AS raw
     FROM (SELECT posting_id, places, unnest([1, 2, 3]) AS i FROM sent)),
   new AS (SELECT * FROM flat QUALIFY row_number() OVER (PARTITION BY posting_id, city, region, country ORDER BY i) = 1)
   SELECT posting_id, city, region, country, raw FROM place WHERE posting_id NOT IN (SELECT posting_id FROM sent)

@@ -140,7 +140,7 @@ def looks_like_html(d: Domain) -> DataFrame:
 
 @query(
     "pick_description",
-    f"""SELECT page_id, md5(substr(t, 1, 20000)) AS text_digest, length(substr(t, 1, 20000)) AS chars, has_html FROM (
+    f"""SELECT page_id, md5(t) AS text_digest, length(t) AS chars, has_html FROM (
     SELECT page_id, {sql_strip("CASE WHEN page_id % 3 = 0 THEN 'Plain ' || page_id ELSE html END")} AS t, page_id % 3 <> 0 AS has_html FROM pages)""",
 )
 def pick_description(d: Domain) -> DataFrame:
@@ -265,7 +265,7 @@ def format_locations(d: Domain) -> DataFrame:
 
 @query(
     "clean_location",
-    """SELECT id, CASE id % 4 WHEN 0 THEN title || ' & Co' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE title END AS location FROM posting""",
+    """SELECT id, CASE id % 4 WHEN 0 THEN title || ' & Co' WHEN 1 THEN NULL WHEN 2 THEN repeat(title, 30) ELSE title END AS location FROM posting""",
 )
 def clean_loc(d: Domain) -> DataFrame:
     i, t = F.col("id"), F.col("title")
@@ -319,12 +319,12 @@ _EMP = lambda c: sql_patterns(f"replace(strip_accents({c}), '_', ' ')", roles.EM
 @query(
     "normalise_employment",
     f"""SELECT id, coalesce({_EMP('stated')}, {_EMP('t')}, {_EMP('head')}) AS employment_type FROM (
-    SELECT id, {pick_sql('id % 10', CONTRACTS)} AS stated, {_NOUN} AS t, substr(description, 1, 400) AS head FROM posting)""",
+    SELECT id, {pick_sql('id % 10', CONTRACTS)} AS stated, {_NOUN} AS t, description AS head FROM posting)""",
 )
 def normalise_employment(d: Domain) -> DataFrame:
     stated = pick(F.col("id") % 10, CONTRACTS)
     return titled(d).select(
-        "id", roles.normalise_employment(stated, F.col("t"), F.substring("description", 1, 400)).alias("employment_type")
+        "id", roles.normalise_employment(stated, F.col("t"), F.col("description")).alias("employment_type")
     )
 
 
@@ -359,7 +359,9 @@ def pay_texts(d: Domain) -> DataFrame:
         .when(i % 6 == 4, F.concat(F.lit("$ "), k, F.lit(",000 to $ "), k, F.lit(",500")))
         .otherwise(F.concat(F.lit("pay by agreement, call 555-382 or 12 - 14 h for "), "title"))
     )
-    return d.postings.select("id", raw.alias("t"), F.floor(low / 1000).alias("k"))
+    # Every other text states its pay only after thousands of other characters.
+    whole = F.when(i % 12 < 6, F.concat(F.repeat(F.lit("about the team "), 400), raw)).otherwise(raw)
+    return d.postings.select("id", whole.alias("t"), F.floor(low / 1000).alias("k"))
 
 
 @query(
@@ -370,7 +372,7 @@ def pay_texts(d: Domain) -> DataFrame:
       CASE WHEN id % 6 = 0 AND k >= 10 THEN 'EUR' WHEN id % 6 = 4 AND k >= 1 THEN 'USD' END AS salary_currency FROM k""",
 )
 def parse_salary(d: Domain) -> DataFrame:
-    pay = roles.parse_salary(F.substring("t", 1, n.SALARY_SCOPE))
+    pay = roles.parse_salary(F.col("t"))
     return pay_texts(d).select("id", pay.alias("p")).select(
         "id", F.col("p.min").alias("salary_min"), F.col("p.max").alias("salary_max"), F.col("p.currency").alias("salary_currency")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hirelake.functions.urls import normalise_source_url
-from hirelake.operators.crawl import MAX_ERROR_TEXT, SchedulePolicy, backoff_hours
+from hirelake.operators.crawl import SchedulePolicy, backoff_hours
 
 STATE = T.StructType(
     [
@@ -41,7 +41,7 @@ class SourceStateProcessor(StatefulProcessor):
             now["last_checked_at"] = run.at
             failed = isinstance(run.error, str) and run.error != ""
             now["failure_count"] = now["failure_count"] + 1 if failed else 0
-            now["last_error"] = run.error[:MAX_ERROR_TEXT] if failed else None
+            now["last_error"] = run.error if failed else None
             if isinstance(run.content_hash, str):
                 now["content_hash"] = run.content_hash
             if pd.notna(run.job_count):
