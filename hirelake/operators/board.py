@@ -17,7 +17,7 @@ from hirelake.operators.score import STRONG_FIT_SCORE, LiteralWishes, Profile, e
 
 # --- fixed values -----------------------------------------------------------------
 PAGE_LIMIT, PAGE_DEFAULT = 100, 25
-HIGHLIGHT_LIMIT, HIGHLIGHT_DEFAULT = 25, 5
+HIGHLIGHT_DEFAULT = 5
 NEW_WINDOW_DAYS = 7
 FACET_SIZES = {
     "company_id": 30, "department": 30, "employment_type": 30, "remote_type": 30, "city": 40, "country": 40,
@@ -267,9 +267,9 @@ def count_total(frame: DataFrame, q: BoardQuery, viewer: Viewer, as_of: Column)
 
 
 def highlights(frame: DataFrame, q: BoardQuery, viewer: Viewer, as_of: Column) -> DataFrame:
-    """The first few rows with the total next to each: one scan, two small aggregates."""
+    """The first few rows; `count_total` of the same query is the total that stands beside them."""
     size = as_int(q.limit)
-    size = min(max(HIGHLIGHT_DEFAULT if size is None else size, 1), HIGHLIGHT_LIMIT)
+    size = max(HIGHLIGHT_DEFAULT if size is None else size, 1)
     rows, order = board_sort(board(frame, q, viewer, as_of), q, viewer)
     return rows.orderBy(*order).limit(size)
 

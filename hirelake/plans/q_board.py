@@ -263,12 +263,19 @@ page_query("board_sort_title", BoardQuery(sort_by="title", sort_order="asc", lim
 page_query("board_sort_salary", BoardQuery(sort_by="salary_max", limit=100), PLAIN, "closed_at IS NULL", "salary_max DESC NULLS LAST, id", KEEP, "LIMIT 100")
 page_query("board_sort_company", BoardQuery(sort_by="company", sort_order="desc"), PLAIN, "closed_at IS NULL", "company_name DESC, id", KEEP, "LIMIT 25")
 page_query("board_sort_created", BoardQuery(sort_by="created_at", sort_order="asc", limit=50), PLAIN, "closed_at IS NULL", "created_at, id", KEEP, "LIMIT 50")
+HIGHLIGHTS = BoardQuery(status=["NEW", "SEEN"], tracked=False, min_score=70, sort_by="match", limit=5)
+HIGHLIGHTED = f"closed_at IS NULL AND status IN ('NEW', 'SEEN') AND application_id IS NULL AND {SCORE} >= 70"
 page_query(
-    "highlights", BoardQuery(status=["NEW", "SEEN"], tracked=False, min_score=70, sort_by="match", limit=5), VIEWER,
-    f"closed_at IS NULL AND status IN ('NEW', 'SEEN') AND application_id IS NULL AND {SCORE} >= 70", f"{SCORE} DESC, {NEWEST}", SCORED, "LIMIT 5", 5,
+    "highlights", HIGHLIGHTS, VIEWER,
+    HIGHLIGHTED, f"{SCORE} DESC, {NEWEST}", SCORED, "LIMIT 5", 5,
 )
 
 
+@query("highlights_total", f"WITH frame AS ({FRAME}) SELECT count(*) AS total FROM frame WHERE {HIGHLIGHTED}")
+def highlights_total(d: Domain) -> DataFrame:
+    return b.count_total(frame(d), HIGHLIGHTS, VIEWER, as_of())
+
+
 @query("count_total", f"WITH frame AS ({FRAME}) SELECT count(*) AS total FROM frame WHERE closed_at IS NULL AND {MATCH}")
 def count_total(d: Domain) -> DataFrame:
     return b.count_total(frame(d), BoardQuery(only_matches=True), VIEWER, as_of())

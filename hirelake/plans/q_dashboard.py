@@ -119,14 +119,16 @@ def overview(d: Domain) -> DataFrame:
 
 # --- lists ----------------------------------------------------------------------------
 
-_MINE = f"(SELECT a.*, c.name AS company FROM {LIVE} a LEFT JOIN company c ON c.id = a.company_id WHERE a.user_id = {USER})"
+LISTER = 84  # has applications in the places that are asked for
+_OF = lambda user: f"(SELECT a.*, c.name AS company FROM {LIVE} a LEFT JOIN company c ON c.id = a.company_id WHERE a.user_id = {user})"
+_MINE = _OF(USER)
 _FILTER = "lower(city) IN ('paris', 'lyon') AND status IN ('APPLIED', 'INTERVIEW', 'OFFER', 'REJECTED')"
 
 
-@query("list_applications", f"SELECT id, position, company, city, tier FROM {_MINE} WHERE {_FILTER} ORDER BY {_TIER}, city ASC NULLS LAST, id LIMIT 20")
+@query("list_applications", f"SELECT id, position, company, city, tier FROM {_OF(LISTER)} WHERE {_FILTER} ORDER BY {_TIER}, city ASC NULLS LAST, id LIMIT 20")
 def list_applications(d: Domain) -> DataFrame:
     rows = li.list_applications(
-        d.applications, d.companies, USER, sort_by="city", sort_order="asc", city=["Paris ", "LYON"], status=["APPLIED", "INTERVIEW", "OFFER", "REJECTED"]
+        d.applications, d.companies, LISTER, sort_by="city", sort_order="asc", city=["Paris ", "LYON"], status=["APPLIED", "INTERVIEW", "OFFER", "REJECTED"]
     )
     return rows.select("id", "position", "company", "city", "tier")
 

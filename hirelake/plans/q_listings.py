@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,23 +227,28 @@ def read_listing_workday(d: Domain) -> DataFrame:
     return l.read_listing_workday(workday(d)).select("board_url", "external_id", "title", "url", "location", "posted_at", "partial")
 
 
+def every_vendor(d: Domain) -> DataFrame:
+    vendors = (greenhouse, lever, ashby, smartrecruiters, teamtailor, personio, workday)
+    return reduce(DataFrame.unionByName, [v(d) for v in vendors])
+
+
 @query(
     "union_listings",
     """SELECT platform, count(*) AS jobs, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT 'greenhouse' AS platform, id FROM posting UNION ALL SELECT 'lever', id FROM posting WHERE id % 5 <> 0 OR id % 10 = 0
-    UNION ALL SELECT 'workday', id FROM posting WHERE id % 9 <> 0) GROUP BY 1""",
+    UNION ALL SELECT 'workday', id FROM posting WHERE id % 9 <> 0 UNION ALL SELECT unnest(['ashby', 'smartrecruiters', 'personio']), id FROM posting
+    UNION ALL SELECT 'teamtailor', CASE WHEN id % 3 <> 0 OR id % 6 = 0 THEN id END FROM posting WHERE id % 7 <> 0) GROUP BY 1""",
 )
 def union_listings(d: Domain) -> DataFrame:
-    pages = greenhouse(d).unionByName(lever(d)).unionByName(workday(d))
-    return l.union_listings(pages).groupBy("platform").agg(F.count("*").alias("jobs"), F.sum(F.col("external_id").cast("bigint")).alias("ids"))
+    return l.union_listings(every_vendor(d)).groupBy("platform").agg(F.count("*").alias("jobs"), F.sum(F.col("external_id").cast("bigint")).alias("ids"))
 
 
 @query(
     "count_landed_jobs",
-    f"""SELECT platform, page, CAST(count(*) AS BIGINT) AS jobs FROM (SELECT unnest(['greenhouse', 'lever', 'smartrecruiters', 'personio']) AS platform, id // 100000 // {PAGE} + 1 AS page, id FROM posting) GROUP BY 1, 2""",
+    f"""SELECT platform, page, CAST(count(*) AS BIGINT) AS jobs FROM (SELECT unnest(['greenhouse', 'lever', 'ashby', 'smartrecruiters', 'teamtailor', 'personio', 'workday']) AS platform, id // 100000 // {PAGE} + 1 AS page, id FROM posting
+    UNION ALL SELECT 'teamtailor', id // 100000 // {PAGE} + 2, id FROM posting WHERE (id // 100000) % {PAGE} >= {PAGE - 4}) GROUP BY 1, 2""",
 )
 def landed_jobs(d: Domain) -> DataFrame:
-    pages = greenhouse(d).unionByName(lever(d)).unionByName(smartrecruiters(d)).unionByName(personio(d))
-    return count_landed_jobs(pages).groupBy("platform", "page").agg(F.sum("job_count").alias("jobs"))
+    return count_landed_jobs(every_vendor(d)).groupBy("platform", "page").agg(F.sum("job_count").alias("jobs"))
 
 
 # --- routing --------------------------------------------------------------------------

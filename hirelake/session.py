@@ -44,9 +44,22 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation."""
+    """`df` written once to the shared folder and read back: a lost executor costs no recomputation, later steps read only
+    the columns they need, and joins know the real size. `clear_scratch` removes what a job has written so."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = run_folder(spark, "cut")
+    df.write.parquet(path)
+    _SCRATCH.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the files of `cut_lineage` so far; call it once what was built from them is written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
