@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hirelake.functions.roles import capitalise_slug
 from hirelake.functions.text import fold_key
 from hirelake.operators.rows import top_per_key
+from hirelake.session import cut_lineage
 
 # How strongly a user engaged with a posting; lower is stronger.
 ENGAGEMENT = {"APPLIED": 0, "DISMISSED": 1, "SEEN": 2}
@@ -83,14 +84,17 @@ def merge_companies(
     """Companies whose names differ only in case become one, with everything that hangs on them.
 
     Postings are collapsed where they are about to live: by key, then url, then external id, each
-    pass reading what the one before left.
+    pass reading what the one before left. Its intermediate files go with `clear_scratch`.
     """
-    mapping = company_mapping(companies)
-    posts, inter = _moved(postings, mapping), interactions
-    for key in ("dedup_key", "url", "external_id"):
-        dup = collapse_mapping(posts, ["company_id", key])
-        inter = repoint_interactions(inter, dup)
-        posts = posts.join(dup.select(F.col("dup_id").alias("id")), "id", "left_anti").select(*postings.columns)
+    mapping = cut_lineage(company_mapping(companies))
+    keys, inter = ("dedup_key", "url", "external_id"), interactions
+    # The passes run on ids and keys alone, each from files; wide rows are touched once, at the end.
+    slim = cut_lineage(_moved(postings.select("id", "company_id", *keys, "created_at"), mapping))
+    for key in keys:
+        dup = cut_lineage(collapse_mapping(slim, ["company_id", key]))
+        inter = cut_lineage(repoint_interactions(inter, dup))
+        slim = cut_lineage(slim.join(dup.select(F.col("dup_id").alias("id")), "id", "left_anti"))
+    posts = _moved(postings.join(slim.select("id"), "id", "left_semi"), mapping)
 
     followed = _moved(watches, mapping)
     original = watches.withColumn("_own", F.lit(1)).select("user_id", "company_id", "_own")
