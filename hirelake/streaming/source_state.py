@@ -37,7 +37,7 @@ class SourceStateProcessor(StatefulProcessor):
         names = STATE.names
         kept = self.state.get()
         now = dict(zip(names, kept)) if kept is not None else dict.fromkeys(names) | {"failure_count": 0, "job_count": 0}
-        for run in pd.concat(list(rows)).sort_values("at").itertuples():
+        for run in pd.concat(list(rows)).sort_values(["at", "error", "content_hash", "job_count"], kind="stable").itertuples():
             now["last_checked_at"] = run.at
             failed = isinstance(run.error, str) and run.error != ""
             now["failure_count"] = now["failure_count"] + 1 if failed else 0

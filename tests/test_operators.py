@@ -175,5 +175,25 @@ def test_streamed_cycles(spark, tmp_path):
     assert again == fourth
 
 
+def test_personio_address_keeps_its_country(spark):
+    xml = "<workzag-jobs><position><id>7</id><name>Data Engineer</name></position></workzag-jobs>"
+    rows = [("personio", board, "acme", 1, xml) for board in ("https://acme.jobs.personio.com/xml", "personio/acme", "https://acme.jobs.personio.eu")]
+    pages = spark.createDataFrame(rows, "platform string, board_url string, token string, page int, payload string")
+    urls = {r.board_url: r.url for r in listings.read_listing_personio(pages).collect()}
+    assert urls["https://acme.jobs.personio.com/xml"] == "https://acme.jobs.personio.com/job/7"
+    assert urls["https://acme.jobs.personio.eu"] == "https://acme.jobs.personio.eu/job/7"
+    assert urls["personio/acme"] == "https://acme.jobs.personio.de/job/7"
+
+
+def test_first_wins_on_shared_boards(spark):
+    """A winner of one company shuts out nothing of another; exact repeats and second spellings of a board count once."""
+    x, y, p, z, w = (0, "x", "ex", "kx"), (1, "y", "ey", "ky"), (2, "p", "ex", "ky"), (3, "x", "ez", "kz"), (4, "w", "ez", "kw")
+    rows = [(1, *x, "b")] + [(2, *r, "b") for r in (y, p, z, w)] + [(2, *y, "b"), (2, *y, "b/"), (1, *x, "b")]
+    df = spark.createDataFrame(rows, "company_id long, pos long, url string, external_id string, dedup_key string, source string")
+    stored = df.limit(0)
+    got = sorted((r.company_id, r.pos) for r in m.insert_new(df, stored, F.lit("t"), F.col("pos")).collect())
+    assert got == [(1, 0), (2, 1), (2, 3)]
+
+
 def test_run_folder_is_fresh(spark):
     assert run_folder(spark, "x") != run_folder(spark, "x")
