@@ -16,7 +16,7 @@ from hirelake.operators.rows import top_per_key
 from hirelake.operators.score import STRONG_FIT_SCORE, LiteralWishes, Profile, exclusion, match_predicate, match_reasons, match_score
 
 # --- fixed values -----------------------------------------------------------------
-PAGE_LIMIT, PAGE_DEFAULT = 100, 25
+PAGE_DEFAULT = 25
 HIGHLIGHT_DEFAULT = 5
 NEW_WINDOW_DAYS = 7
 FACET_SIZES = {
@@ -250,13 +250,25 @@ def search_rank(terms: list[str]) -> Column:
 
 
 def paginate(rows: DataFrame, order: list[Column], page=None, limit=None) -> DataFrame:
-    """One page by offset. For deep pages filter on the last row's (sort key, id) instead."""
+    """One page by offset: offset and limit rows meet in one task. `page_after` reads deep pages without that."""
     page = max(as_int(page) or 1, 1)
     size = as_int(limit)
-    size = min(max(PAGE_DEFAULT if size is None else size, 1), PAGE_LIMIT)
+    size = max(PAGE_DEFAULT if size is None else size, 1)
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, keys: dict[str, bool], last: dict, limit: int = PAGE_DEFAULT) -> DataFrame:
+    """The page behind a row: `keys` maps each sort column to "descending", the last of them is unique; `last` holds the
+    row's values. Every task keeps `limit` rows, however deep the page is. Columns without nulls only."""
+    behind, same = F.lit(False), F.lit(True)
+    for name, descending in keys.items():
+        value = F.lit(last[name])
+        behind = behind | (same & ((F.col(name) < value) if descending else (F.col(name) > value)))
+        same = same & (F.col(name) == value)
+    order = [F.col(name).desc() if descending else F.col(name).asc() for name, descending in keys.items()]
+    return rows.filter(behind).orderBy(*order).limit(limit)
+
+
 def board_page(frame: DataFrame, q: BoardQuery, viewer: Viewer, as_of: Column) -> DataFrame:
     rows, order = board_sort(board(frame, q, viewer, as_of), q, viewer)
     return paginate(rows, order, q.page, q.limit).withColumn("match_reasons", match_reasons(viewer.profile))

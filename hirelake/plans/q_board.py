@@ -271,6 +271,17 @@ page_query(
 )
 
 
+@query(
+    "page_after",
+    f"""WITH frame AS ({FRAME}) SELECT id, title, created_at FROM frame WHERE closed_at IS NULL
+    AND (title > 'Data Engineer' OR (title = 'Data Engineer' AND id < 100000000)) ORDER BY title, id DESC LIMIT 60""",
+)
+def page_after(d: Domain) -> DataFrame:
+    rows = frame(d).filter("closed_at IS NULL")
+    last = {"title": "Data Engineer", "id": 100_000_000}
+    return b.page_after(rows, {"title": False, "id": True}, last, 60).select("id", "title", "created_at")
+
+
 @query("highlights_total", f"WITH frame AS ({FRAME}) SELECT count(*) AS total FROM frame WHERE {HIGHLIGHTED}")
 def highlights_total(d: Domain) -> DataFrame:
     return b.count_total(frame(d), HIGHLIGHTS, VIEWER, as_of())
@@ -297,7 +308,7 @@ def count_new(d: Domain) -> DataFrame:
 )
 def get_posting(d: Domain) -> DataFrame:
     # The id a viewer opens: here the last one they touched.
-    last = d.interactions.filter(F.col("user_id") == USER).agg(F.max("posting_id")).first()[0]
+    last = d.interactions.filter(F.col("user_id") == USER).agg(F.max("posting_id")).scalar()
     row = b.get_posting(frame(d), last, VIEWER)
     return row.select("id", "title", "company_name", "status", "followed", F.array_join("city_list", ",").alias("cities"), "match_score")
 
