@@ -99,11 +99,14 @@ class BlockMaxIndex:
 
 
 def vote(found: list[tuple[int, float]], labels: np.ndarray) -> float | None:
-    """Share of label 1 among the neighbours, each weighted by one over its distance; None without neighbours."""
+    """Share of label 1 among the neighbours, near ones more; None without neighbours.
+
+    A neighbour weighs cosine over distance, and a weight of 1 speaks for label 0: far neighbours alone prove little.
+    """
     if not found:
         return None
-    weights = [1 / (1.02 - c) for _, c in found]
-    return sum(w * labels[i] for w, (i, _) in zip(weights, found, strict=True)) / sum(weights)
+    weights = [c / (1.02 - c) for _, c in found]
+    return sum(w * labels[i] for w, (i, _) in zip(weights, found, strict=True)) / (1 + sum(weights))
 
 
 class Calibration:
