@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes."""
+"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over all terms of the examples, calibrated votes."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from hirelake.llm.words import LETTER, TextRun, mix, text_runs
 
 #: Beside whole words, their first so many bytes are terms: endings vary more than stems.
 STEMS = (5, 7)
-#: A term is telling only if it is so many times as frequent with one label as with the other.
-LIFT = 3.0
+#: So many of the terms with the longest postings are kept as columns of a dense matrix.
+DENSE = 1024
 SCORED = (
     "doc_id long, held_out boolean, score double, predicted int, "
     "evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
@@ -43,74 +43,176 @@ def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
 
 
-def term_counts(run: TextRun, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, number of the term in the sorted vocabulary, occurrences), by document and term."""
+class Vocabulary:
+    """Sorted term hashes with a first place for each value of their leading bits, so that finding one is a short walk."""
+
+    def __init__(self, terms: np.ndarray):
+        self.size = len(terms)
+        self.terms = np.append(terms, np.uint64(2**64 - 1))
+        bits = max(1, self.size.bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(terms, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.steps = int(np.bincount((terms >> self.shift).astype(np.int64), minlength=1).max()) if self.size else 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms are known, and the numbers of those."""
+        at = self.first[(terms >> self.shift).astype(np.int64)]
+        for _ in range(self.steps):
+            at += self.terms[at] < terms
+        known = (self.terms[at] == terms) & (at < self.size)
+        return known, at[known]
+
+
+def term_counts(run: TextRun, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number of the term in the vocabulary, occurrences), by document and term."""
     owner, term = terms_of(run)
     if not len(vocabulary) or not len(term):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-    known = vocabulary[at] == term
-    key, n = np.unique(owner[known].astype(np.int64) * len(vocabulary) + at[known], return_counts=True)
+    known, at = vocabulary.places(term)
+    key, n = np.unique(owner[known].astype(np.int64) * len(vocabulary) + at, return_counts=True)
     return key // len(vocabulary), key % len(vocabulary), n
 
 
-class BlockMaxIndex:
-    """Postings of the examples by term, in blocks of `block` examples with the largest weight of each term in each.
+class ExampleIndex:
+    """The examples' vectors by term: the commonest terms as a dense matrix, all others as postings.
 
-    `nearest` is exact: it opens blocks by falling upper bound (the query against the blocks' largest weights) and stops
-    when no unopened block can reach the k-th best cosine. Equal cosines rank by example number.
+    `nearest_of` is exact: it adds up the cosine of every example, for `block` queries at a time. Equal cosines rank by
+    example number.
     """
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 64):
-        self.idf, self.block = idf, block
-        self.size, self.blocks = len(examples), max(1, -(-len(examples) // block))
-        vectors = [(t, self.weights(t, n)) for t, n in examples]
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        owner = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
-        order = np.lexsort((owner, term))
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16):
+        self.idf, self.block, self.size = idf, block, len(examples)
+        term = np.concatenate([t for t, _ in examples] or [np.zeros(0)], dtype=np.int32, casting="unsafe")
+        weight = np.concatenate([self.weights(t, n) for t, n in examples] or [np.zeros(0)])
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in examples])
+        length = np.bincount(term, minlength=len(idf))
+        common = np.argsort(-length, kind="stable")[:DENSE]
+        self.column = np.full(len(idf), -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.size))
+        at = self.column[term]
+        self.dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
+        term, owner, weight = term[at < 0], owner[at < 0], weight[at < 0]
+        order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        cells = term[order] * self.blocks + self.owner // block
-        self.start = np.searchsorted(cells, np.arange(len(idf) * self.blocks + 1))
-        self.largest = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.largest, cells, self.weight)
-        self.largest = self.largest.reshape(len(idf), self.blocks)
+        self.start = np.zeros(len(idf) + 1, dtype=np.int64)
+        np.cumsum(np.bincount(term, minlength=len(idf)), out=self.start[1:])
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
+    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Queries by examples."""
+        term = np.concatenate([t for t, _ in queries]).astype(np.int64)
+        weight = np.concatenate([self.weights(t, n) for t, n in queries])
+        query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        at = self.column[term]
+        head = np.zeros((len(queries), len(self.dense)))
+        head[query[at >= 0], at[at >= 0]] = weight[at >= 0]
+        total = head @ self.dense
+        term, weight, query = term[at < 0], weight[at < 0], query[at < 0]
+        begin = self.start[term]
+        n = self.start[term + 1] - begin
+        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        cell = np.repeat(query * self.size, n) + self.owner[entry]
+        return total + np.bincount(cell, np.repeat(weight, n) * self.weight[entry], total.size).reshape(total.shape)
+
+    def nearest_of(
+        self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None
+    ) -> list[list[tuple[int, float]]]:
+        """For each query the k examples (number, cosine) with the highest cosine above 0, without its example of `but`."""
+        if not self.size:
+            return [[] for _ in queries]
+        out = []
+        for a in range(0, len(queries), self.block):
+            cosine = self._cosines(queries[a : a + self.block])
+            if but is not None:
+                cosine[np.arange(len(cosine)), but[a : a + self.block]] = 0
+            # Cosine and example in one whole number, all different: what is cut off is never one of several equals.
+            rank = np.rint(cosine * 1e9).astype(np.int64) * self.size + np.arange(self.size - 1, -1, -1)
+            best = np.partition(rank, -k, axis=1)[:, -k:] if self.size > k else rank
+            for row in np.sort(best, axis=1)[:, ::-1].tolist():
+                found = (divmod(r, self.size) for r in row)
+                out.append([(self.size - 1 - i, min(1.0, c / 1e9)) for c, i in found if c > 0])
+        return out
+
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int = -1) -> list[tuple[int, float]]:
-        """The k examples (number, cosine) with the highest cosine above 0, without example `but`."""
-        q = self.weights(terms, counts)
-        bound = q @ self.largest[terms]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < -found[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip((terms * self.blocks + b).tolist(), q.tolist(), strict=True):
-                a, z = self.start[t], self.start[t + 1]
-                if a < z:
-                    score[self.owner[a:z] - b * self.block] += w * self.weight[a:z]
-            own = [(-round(float(score[i]), 9), b * self.block + int(i)) for i in np.flatnonzero(score > 0)]
-            found = sorted(found + [x for x in own if x[1] != but])[:k]
-        return [(i, min(1.0, -s)) for s, i in found]
-
-
-def vote(found: list[tuple[int, float]], labels: np.ndarray) -> float | None:
-    """Share of label 1 among the neighbours, near ones more; None without neighbours.
-
-    A neighbour weighs cosine over distance, and a weight of 1 speaks for label 0: far neighbours alone prove little.
+        found = self.nearest_of([(terms, counts)], k + 1)[0]
+        return [x for x in found if x[0] != but][:k]
+
+
+#: The name it has in earlier tests.
+BlockMaxIndex = ExampleIndex
+
+
+@dataclass(frozen=True)
+class Vote:
+    """Share of label 1 among the nearest `neighbours`: each weighs cosine ** power over its distance, and a weight of
+    `doubt` speaks for label 0, as far neighbours alone prove little."""
+
+    neighbours: int
+    power: float = 1.0
+    doubt: float = 1.0
+
+    def __call__(self, found: list[tuple[int, float]], labels: np.ndarray) -> float | None:
+        """None without neighbours."""
+        if not found:
+            return None
+        weights = [c**self.power / (1.02 - c) for _, c in found[: self.neighbours]]
+        return sum(w * labels[i] for w, (i, _) in zip(weights, found, strict=False)) / (self.doubt + sum(weights))
+
+
+def strengths(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> np.ndarray:
+    """How much each term says about the label: size of its smoothed log odds, and a little for all."""
+    terms = [t for t, _ in vectors] or [np.zeros(0, np.int64)]
+    kind = np.repeat(labels, [len(t) for t in terms]) if len(labels) else np.zeros(0, np.int64)
+    in_one, in_zero = (np.bincount(np.concatenate(terms)[kind == k], minlength=size) for k in (1, 0))
+    ones, zeros = int(labels.sum()), int((1 - labels).sum())
+    prior = 2 * ones / max(1, ones + zeros)
+    odds = np.log((in_one + prior + 1e-9) / (ones + 2)) - np.log((in_zero + 2 - prior + 1e-9) / (zeros + 2))
+    return 0.05 + np.abs(odds)
+
+
+def cross_validated(
+    vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, neighbours: int
+) -> tuple[int, Vote, list[float | None]]:
+    """Whether terms count by TF-IDF alone (0) or times their strength (1), which vote, and the examples' votes.
+
+    Each fifth of the examples votes over the other four, whose labels alone give the strengths. Of all choices the one
+    with the least log loss is taken, calibrated on four fifths and held against the fifth; of equal ones the first.
     """
-    if not found:
-        return None
-    weights = [c / (1.02 - c) for _, c in found]
-    return sum(w * labels[i] for w, (i, _) in zip(weights, found, strict=True)) / (1 + sum(weights))
+    fold = np.arange(len(labels)) % 5
+    best, least = (0, Vote(neighbours), [None] * len(labels)), np.inf
+    for by_strength in (0, 1):
+        found: list[list[tuple[int, float]]] = [[] for _ in vectors]
+        for j in range(5):
+            rest, own = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
+            others = [vectors[i] for i in rest]
+            index = ExampleIndex(others, idf * strengths(others, labels[rest], len(idf)) ** by_strength)
+            for i, near in zip(own, index.nearest_of([vectors[i] for i in own], neighbours), strict=True):
+                found[i] = [(int(rest[x]), c) for x, c in near]
+            del index
+        for k in [neighbours, *(n for n in (7, 3) if n < neighbours)]:
+            for power, doubt in ((1.0, 1.0), (1.0, 0.1), (1.0, 0.01), (3.0, 0.1), (3.0, 0.01)):
+                vote = Vote(k, power, doubt)
+                votes = [vote(f, labels) for f in found]
+                loss = 0.0
+                for j in range(5):
+                    rest, own = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
+                    told = Calibration([votes[i] for i in rest], labels[rest], weights[rest])
+                    p = np.clip([told(votes[i]) for i in own], 1e-3, 1 - 1e-3)
+                    loss -= float((weights[own] * np.log(np.where(labels[own] == 1, p, 1 - p))).sum())
+                if loss < least - 1e-9:
+                    best, least = (by_strength, vote, votes), loss
+    return best
 
 
 class Calibration:
-    """From votes to probabilities: isotonic steps through leave-one-out votes, weighted to the labels' true shares."""
+    """From votes to probabilities: isotonic steps through cross-validated votes, weighted to the labels' true shares."""
 
     def __init__(self, votes: list[float | None], labels: np.ndarray, weights: np.ndarray):
         none = np.array([v is None for v in votes], dtype=bool)
@@ -154,38 +256,32 @@ def _examples(docs: DataFrame, labels: DataFrame, each: int) -> tuple[DataFrame,
     return materialise(kinds[0].unionByName(kinds[1]), "examples"), counts
 
 
-def _vocabulary(texts: DataFrame, size: int, least: int) -> np.ndarray:
-    """The `size` terms whose presence tells most about the label (chi-squared), in at least `least` examples."""
+def _example_vectors(texts: DataFrame) -> tuple[Vocabulary, list[tuple[np.ndarray, np.ndarray]], list[int], np.ndarray]:
+    """All terms of the examples, and of each example its terms and counts, doc_id and label, by doc_id."""
 
     def run(batches):
         for batch in batches:
-            label = np.array(batch.column(1).to_pylist())
             for a, b, t in text_runs(_lower(batch.column(0))):
                 owner, term = terms_of(t)
-                pair = np.unique(np.stack([term, owner.astype(np.uint64)]), axis=1)
-                one = label[a:b][pair[1].astype(np.int64)] == 1
-                terms, at = np.unique(pair[0], return_inverse=True)
-                columns = [np.bincount(at, weights=w, minlength=len(terms)).astype(np.int64) for w in (one, ~one)]
-                names = ["term", "ones", "zeros"]
-                yield pa.record_batch([pa.array(terms.view(np.int64)), *map(pa.array, columns)], names=names)
-
-    total = {r.toxic: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = F.lit(float(total.get(1, 0))), F.lit(float(total.get(0, 0)))
-    counts = texts.select("text", "toxic").mapInArrow(run, "term long, ones long, zeros long")
-    counts = counts.groupBy("term").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
-    n, with_term = ones + zeros, F.col("a") + F.col("b")
-    gap = F.col("a") * (zeros - F.col("b")) - F.col("b") * (ones - F.col("a"))
-    spread = with_term * (n - with_term) * ones * zeros
-    chi = F.when(spread > 0, n * gap * gap / spread).otherwise(0.0)
-    # Much more often on one side, and (10.83) with one chance in a thousand for a term that says nothing.
-    lift = (F.col("a") + 0.5) / (ones + 1) * (zeros + 1) / (F.col("b") + 0.5)
-    told = counts.withColumn("chi", chi).filter((with_term >= least) & (F.col("chi") > 10.83))
-    told = told.filter((lift >= LIFT) | (lift <= 1 / LIFT))
-    best = told.orderBy(F.col("chi").desc(), "term").limit(size).collect()
-    return np.sort(np.array([r.term for r in best], dtype=np.int64).view(np.uint64))
-
-
-def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+                order = np.argsort(owner, kind="stable")
+                cuts = np.searchsorted(owner[order], np.arange(b - a + 1)).tolist()
+                own = [np.unique(term[order[x:y]], return_counts=True) for x, y in zip(cuts, cuts[1:], strict=False)]
+                columns = [pa.array([x.tobytes() for x, _ in own], pa.binary())]
+                columns += [pa.array([n.astype(np.int32).tobytes() for _, n in own], pa.binary())]
+                sides = [batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)]
+                yield pa.record_batch(sides + columns, names=["doc_id", "toxic", "terms", "counts"])
+
+    schema = "doc_id long, toxic int, terms binary, counts binary"
+    rows = texts.select("text", "doc_id", "toxic").mapInArrow(run, schema).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.terms), bytes(r.counts)))
+    terms = [np.frombuffer(r.terms, dtype=np.uint64) for r in rows]
+    every = np.unique(np.concatenate(terms)) if rows else np.zeros(0, np.uint64)
+    vectors = [(np.searchsorted(every, t).astype(np.int32), np.frombuffer(r.counts, dtype=np.int32)) for t, r in zip(terms, rows, strict=True)]
+    label = np.array([r.toxic for r in rows], dtype=np.int64)
+    return Vocabulary(every), vectors, [r.doc_id for r in rows], label
+
+
+def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """In how many of all documents each term stands, and how many documents there are."""
     size = len(vocabulary)
 
@@ -195,93 +291,56 @@ def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
             total[size] += batch.num_rows
             for _, _, t in text_runs(_lower(batch.column(0))):
                 total[:size] += np.bincount(term_counts(t, vocabulary)[1], minlength=size)
-        yield pa.record_batch([pa.array(np.arange(size + 1), pa.int32()), pa.array(total)], names=["term", "n"])
+        there = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(there, pa.int32()), pa.array(total[there])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size + 1, dtype=np.int64)
-    for r in rows:
-        total[r.term] = r["n"]
+    total[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     return total[:size], int(total[size])
 
 
-def _example_vectors(texts: DataFrame, vocabulary: np.ndarray) -> list:
-    def run(batches):
-        for batch in batches:
-            ids, toxic = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b, t in text_runs(_lower(batch.column(0))):
-                owner, term, n = term_counts(t, vocabulary)
-                cuts = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
-                parts = [(term[x:y].tolist(), n[x:y].tolist()) for x, y in zip(cuts, cuts[1:], strict=False)]
-                columns = [ids[a:b], toxic[a:b], [p[0] for p in parts], [p[1] for p in parts]]
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.record_batch(arrays, names=["doc_id", "toxic", "terms", "counts"])
-
-    schema = "doc_id long, toxic int, terms array<int>, counts array<int>"
-    rows = texts.select("text", "doc_id", "toxic").mapInArrow(run, schema).collect()
-    # Like examples next to each other: blocks then hold few terms each, and their bounds are tight.
-    return sorted(rows, key=lambda r: (r.terms, r.counts, r.doc_id, r.toxic))
-
-
 @dataclass
 class Model:
-    """A fitted index; its size is bounded by the parameters of `fitted`."""
+    """A fitted index; its size is bounded by the number of examples."""
 
-    index: BlockMaxIndex
+    index: ExampleIndex
     label: np.ndarray
     doc_ids: list[int]
-    calibrated: Calibration | None
-    vocabulary: np.ndarray
+    vote: Vote
+    calibrated: Calibration
+    vocabulary: Vocabulary
     neighbours: int
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> tuple[float | None, list[tuple[int, float]]]:
-        found = self.index.nearest(terms, counts, self.neighbours, but) if len(terms) else []
-        return vote(found, self.label), found
-
-    def scores(self, column: pa.Array, known: dict[bytes, tuple]) -> list[tuple[float, list[dict]]]:
-        """(score, evidence) of each text; `known` keeps what was found for like texts, up to a bound."""
+    def scores(self, column: pa.Array) -> list[tuple[float, list[dict]]]:
+        """(score, evidence) of each text."""
         out = []
         for a, b, t in text_runs(_lower(column)):
             owner, term, n = term_counts(t, self.vocabulary)
             cuts = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                key = term[x:y].tobytes() + n[x:y].tobytes()
-                if key not in known:
-                    share, found = self.vote(term[x:y], n[x:y])
-                    proof = [{"doc_id": self.doc_ids[i], "toxic": int(self.label[i]), "cosine": c} for i, c in found[:3]]
-                    if len(known) >= 50_000:
-                        known.clear()
-                    known[key] = self.calibrated(share), proof
-                out.append(known[key])
+            queries = [(term[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            for found in self.index.nearest_of(queries, self.neighbours):
+                proof = [{"doc_id": self.doc_ids[i], "toxic": int(self.label[i]), "cosine": c} for i, c in found[:3]]
+                out.append((self.calibrated(self.vote(found, self.label)), proof))
         return out
 
 
-def fitted(
-    docs: DataFrame,
-    labels: DataFrame,
-    examples_each: int = 4096,
-    vocabulary_size: int = 4096,
-    least_examples: int = 5,
-    neighbours: int = 15,
-) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, examples_each: int = 4096, neighbours: int = 15) -> Model:
     """Examples are at most `examples_each` training rows of either label, chosen by hash (training rows have crc32(doc_id)
-    mod 5 other than 0). Their `vocabulary_size` most telling terms (chi-squared, and LIFT times as frequent with one
-    label) make the vector space; document frequencies are counted over all documents. Leave-one-out votes of the examples calibrate, weighted to the true shares of the labels.
+    mod 5 other than 0). All their terms make the vector space; document frequencies are counted over all documents.
+    Cross-validation on the examples (`cross_validated`) chooses whether TF-IDF stands alone or times each term's strength,
+    and the vote; its votes calibrate, weighted to the true shares of the labels.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     picked, counts = _examples(docs, labels, examples_each)
-    texts = docs.join(F.broadcast(picked), "doc_id")
-    vocabulary = _vocabulary(texts, vocabulary_size, least_examples)
+    vocabulary, vectors, doc_ids, label = _example_vectors(docs.join(F.broadcast(picked), "doc_id"))
     df, n = _document_counts(docs, vocabulary)
-    rows = _example_vectors(texts, vocabulary)
-    vectors = [(np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in rows]
-    label = np.array([r.toxic for r in rows], dtype=np.int64)
-    index = BlockMaxIndex(vectors, np.log((1 + n) / (1 + df)) + 1)
-    model = Model(index, label, [r.doc_id for r in rows], None, vocabulary, neighbours)
+    idf = np.log((1 + n) / (1 + df)) + 1
     here = np.bincount(label, minlength=2)
     weights = np.array([counts[t] / here[t] for t in label.tolist()])
-    model.calibrated = Calibration([model.vote(*v, i)[0] for i, v in enumerate(vectors)], label, weights)
-    return model
+    by_strength, vote, votes = cross_validated(vectors, label, weights, idf, neighbours)
+    index = ExampleIndex(vectors, idf * strengths(vectors, label, len(idf)) ** by_strength)
+    return Model(index, label, doc_ids, vote, Calibration(votes, label, weights), vocabulary, neighbours)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
@@ -298,9 +357,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFra
     model = fitted(docs, labels, **parameters)
 
     def run(batches):
-        known: dict[bytes, tuple] = {}
         for batch in batches:
-            out = model.scores(batch.column(0), known)
+            out = model.scores(batch.column(0))
             score = np.array([s for s, _ in out], dtype=np.float64)
             kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             arrays = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([p for _, p in out], kinds)]
@@ -316,9 +374,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame
     model = fitted(docs, labels, **parameters)
 
     def run(batches):
-        known: dict[bytes, tuple] = {}
         for batch in batches:
-            clean = pa.array([s < 0.5 for s, _ in model.scores(batch.column(1), known)], pa.bool_())
+            clean = pa.array([s < 0.5 for s, _ in model.scores(batch.column(1))], pa.bool_())
             yield batch.select([0]).filter(clean)
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -175,6 +176,19 @@ def test_toxicity_learns_rare_words_and_leaves_clean_texts(spark, nothing):
     assert toxicity.toxicity_scores(nothing, lab).count() == 0
 
 
+def test_toxicity_compares_all_words_of_the_examples(spark):
+    rows = [(i, prose(40) + (f" vile{RNG.choice('abc')} grub" if i % 4 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fitted(df, lab)
+    training = [t.lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    known = {w for t in training for w in re.findall(r"\w+", t)}
+    known = {(0, w.encode()) for w in known} | {(n, w.encode()[:n]) for w in known for n in toxicity.STEMS if len(w.encode()) > n}
+    assert len(model.vocabulary) == len(known)
+    # Also a clean text, without any word that tells, has neighbours.
+    assert all(len(r.evidence) == 3 for r in toxicity.toxicity_scores(df, lab).collect())
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(3)
     examples = []
