@@ -14,7 +14,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Where an IBAN may begin, and all that may belong to it; `ibans` settles where it ends.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_RUN = r"\A[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
+IBAN_LONGEST = 64
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 SHORT_CARD = r"(?<![0-9.+-])(?<![0-9]\x20)[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])"
 LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 CONTEXT = {
@@ -74,12 +82,41 @@ def mod97(hit: Column) -> Column:
     return F.aggregate(characters, F.lit(0), step) == 1
 
 
+def ibans(text: Column, heads: Column) -> Column:
+    """Spans of the IBANs that begin at the heads; none overlaps an earlier one.
+
+    A number ends where no letter or digit follows and its checksum holds: at its country's length, else as late as it can.
+    Whatever comes after it (a BIC, a capitalised word, a date) thus leaves it as it is.
+    """
+    country = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n)])
+
+    def number(s: Column) -> Column:
+        around = F.substring(text, s["start"] + 1, F.lit(IBAN_LONGEST + 1))
+        run = F.regexp_extract(around, IBAN_RUN, 0)
+        first = lambda n: F.substring(run, F.lit(1), n)
+        size = lambda n: F.length(F.replace(first(n), F.lit(" "), F.lit("")))
+
+        def ends(n: Column) -> Column:
+            bound = ~F.substring(around, n, F.lit(2)).rlike(r"[A-Za-z0-9]{2}|\A\x20")
+            return (n <= F.length(run)) & bound & (size(n) >= 15) & mod97(first(n))
+
+        every = F.filter(F.sequence(F.lit(IBAN_LONGEST), F.lit(15), F.lit(-1)), ends)
+        usual = F.filter(every, lambda n: size(n) == country[F.substring(run, 1, 2)])
+        n = F.coalesce(F.get(usual, F.lit(0)), F.get(every, F.lit(0)))
+        return F.struct(s["start"].alias("start"), (s["start"] + n).alias("end"), first(n).alias("hit"))
+
+    nothing = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    found = F.filter(F.transform(heads, number), lambda s: s["end"].isNotNull())
+    apart = lambda done, s: F.when(F.exists(done, lambda d: s["start"] < d["end"]), done).otherwise(F.concat(done, F.array(s)))
+    return F.when(F.size(heads) > 0, F.aggregate(found, nothing, apart)).otherwise(nothing)
+
+
 def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
 def _checks() -> dict[str, tuple[str, Column | None, object, float]]:
-    """kind: pattern, what a text must hold for it, the check of a match, the score of a confirmed span."""
+    """kind: pattern, what a text must hold for it, the check of a match (see `ibans` for theirs), the score of a confirmed span."""
     n = lambda h: F.length(digits_of(h))
     octets = lambda h: F.forall(F.split(h, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(256)) <= 255)
     return {
@@ -87,7 +124,7 @@ def _checks() -> dict[str, tuple[str, Column | None, object, float]]:
         "ip": (IP, "digit", octets, 0.7),
         "card": (CARD, "digit", lambda h: _between(n(h), 16, 19) & luhn(h), 0.9),
         "phone": (PHONE, "+", lambda h: _between(n(h), 8, 15), 0.7),
-        "iban": (IBAN, "digit", mod97, 0.9),
+        "iban": (IBAN, "digit", None, 0.9),
         "short_card": (SHORT_CARD, "digit", luhn, 0.4),
         "local_phone": (LOCAL_PHONE, "digit", lambda h: F.lit(True), 0.4),
     }
@@ -105,6 +142,8 @@ def _with_spans(rows: DataFrame, least_score: float, context_bonus: float) -> Da
     )
 
     def confirmed(kind: str) -> Column:
+        if kind == "iban":
+            return ibans(F.col("t"), F.col(kind))
         return F.filter(kind, lambda s: checks[kind][2](s["hit"]))
 
     rows = rows.withColumns({k: confirmed(k) for k in checks})

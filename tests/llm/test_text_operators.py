@@ -248,6 +248,17 @@ def test_personal_data(spark, nothing):
     assert pii.digest(nothing).count() == 0 and pii.redacted(nothing).count() == 0
 
 
+def test_ibans_whatever_follows(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"
+    cases = [
+        (f"{de} BIC COBADEFFXXX", "<IBAN> BIC COBADEFFXXX"), (f"to {gb} Please pay", "to <IBAN> Please pay"),
+        (f"IBAN {no} 2024-01-01", "IBAN <IBAN> 2024-01-01"), (f"é😀 {de} {gb} {no}.", "é😀 <IBAN> <IBAN> <IBAN>."),
+        (f"{de}, {gb} X", "<IBAN>, <IBAN> X"), (f"{gb}x {de[:-1]}1 A", f"{gb}x {de[:-1]}1 A"), (f"{gb} " + "A1 " * 40, "<IBAN> " + "A1 " * 40),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.text for r in pii.redacted(df).orderBy("doc_id").collect()] == [want for _, want in cases]
+
+
 def test_mixing(docs, nothing, spark):
     rows, df = docs
     got = mixing.mixed_sizes(df).collect()
