@@ -326,6 +326,15 @@ def read_name_feed(d: Domain) -> DataFrame:
     return r.read_name_feed(feed_pages(d), 400).select("feed", "page", "name")
 
 
+@query(
+    "read_name_feed_all",
+    """SELECT 'himalayas' AS feed, c_custkey // 40 + 1 AS page, unnest([lower(c_name), c_name]) AS name FROM customer WHERE c_custkey % 4 = 0
+    UNION ALL SELECT CASE c_custkey % 4 WHEN 1 THEN 'arbeitnow' WHEN 2 THEN 'remoteok' ELSE 'jobicy' END, c_custkey // 40 + 1, c_name FROM customer WHERE c_custkey % 4 <> 0""",
+)
+def read_name_feed_all(d: Domain) -> DataFrame:
+    return r.read_name_feed(feed_pages(d)).select("feed", "page", "name")
+
+
 @query(
     "read_company_directory",
     "SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE lower(s_name) END AS name FROM supplier WHERE s_suppkey % 4 <> 1",

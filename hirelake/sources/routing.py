@@ -148,10 +148,11 @@ FEED_FIELDS = {
 }
 
 
-def read_name_feed(pages: DataFrame, limit: int) -> DataFrame:
-    """(feed, name) from landed feed pages (feed, page, payload).
+def read_name_feed(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """(feed, name) from landed feed pages (feed, page, payload): all pages, unless there is a `limit`.
 
-    Each feed stops after the page on which it reached its even share of `limit`.
+    With one, each feed stops after the page on which it reached its even share; what short feeds leave of theirs is
+    shared out evenly to the others.
     """
     parts = []
     for feed, (path, fields) in FEED_FIELDS.items():
@@ -165,11 +166,24 @@ def read_name_feed(pages: DataFrame, limit: int) -> DataFrame:
             rows.select("feed", "page", "at", F.posexplode(names).alias("nth", "name")).filter(F.length(F.trim("name")) > 0)
         )
     names = reduce(DataFrame.unionByName, parts)
-    share = -(-limit // len(FEED_FIELDS))
+    if limit is None:
+        return names.select("feed", "page", "at", "nth", "name")
     per_page = names.groupBy("feed", "page").agg(F.count("*").alias("n"))
+    totals = per_page.groupBy("feed").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list("n")).alias("totals"))
+
+    def pass_on(left: Column, n: Column) -> Column:
+        """Feeds by size: one that is short of its share takes all it has, and the others share what is left."""
+        short = n * left["feeds"] <= left["names"]
+        rest = F.struct((left["names"] - n).alias("names"), (left["feeds"] - 1).alias("feeds"))
+        return F.when(short, rest).otherwise(left)
+
+    begin = F.struct(F.lit(limit).cast("long").alias("names"), F.size("totals").cast("long").alias("feeds"))
+    every = F.lit(limit).cast("long")  # with no feed left, each has been read
+    share = F.aggregate("totals", begin, pass_on, lambda x: F.when(x["feeds"] > 0, F.ceil(x["names"] / x["feeds"])).otherwise(every))
     before = F.sum("n").over(W.partitionBy("feed").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
-    read = per_page.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < share)
-    return names.join(read.select("feed", "page"), ["feed", "page"]).select("feed", "page", "at", "nth", "name")
+    read = per_page.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(totals.select(share.alias("share"))))
+    read = read.filter(F.col("before") < F.col("share")).select("feed", "page")
+    return names.join(read, ["feed", "page"]).select("feed", "page", "at", "nth", "name")
 
 
 DIRECTORY = "companies array<struct<name:string,slug:string,status:string>>"
