@@ -243,6 +243,13 @@ def score_all(d: Domain) -> DataFrame:
     return pairs.filter(F.col("created_at") > since).select("user_id", "id", "match_score")
 
 
+@query("score_all_postings")
+def score_all_postings(d: Domain) -> DataFrame:
+    """Every configured user against every posting, closed and old ones too; nested loops in SQL would be too slow."""
+    pairs = dg.score_all(d.postings, d.companies, d.places, d.preferences, d.watches, at(POSTINGS_AT), pairs_per_task=20_000)
+    return pairs.select("user_id", "id", "match_score")
+
+
 DIGEST = f"""WITH docs AS ({DOCS}), pairs AS ({PAIRS}) SELECT user_id, email, id, title, company_name, match_score,
   row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, created_at DESC, id) AS place FROM ({SCORED}) s WHERE match_score >= 70
   AND NOT EXISTS (SELECT 1 FROM interaction i WHERE i.user_id = s.user_id AND i.posting_id = s.id) QUALIFY place <= 10"""

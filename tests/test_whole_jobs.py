@@ -2,6 +2,7 @@
 
 import json
 
+from hirelake.plans import registry
 from hirelake.sources import routing
 
 
@@ -13,3 +14,9 @@ def test_name_feed_reads_all_and_passes_shares_on(spark):
     # jobicy leaves 99 of its 100 names, the two absent feeds leave theirs.
     for limit, n in ((101, 101), (200, 201), (400, 301)):
         assert routing.read_name_feed(pages, limit).count() == n
+
+
+def test_score_all_postings_keeps_old_and_closed(spark):
+    queries = registry.queries()
+    every, some = (set(map(tuple, queries[q](spark, "/root/testdata/sf0.001").collect())) for q in ("score_all_postings", "score_all"))
+    assert some <= every and len(every) > len(some)
