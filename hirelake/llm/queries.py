@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import jaccard, mixing, packing, pii, quality, quotes, substrings, token_output, toxicity, vectors
+from hirelake.llm import alignment, backoff, jaccard, mixing, packing, pii, quality, quotes, substrings, token_output, toxicity, vectors
 from hirelake.llm.quotes_sql import QUOTES_SQL
 from hirelake.session import run_folder
 
@@ -27,11 +27,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bpe_50k() -> str:
-    """The file of the 50k byte-level BPE; installed with the machine, not part of this repository."""
+def installed(name: str) -> str:
+    """A tokenizer's file; installed with the machine, not part of this repository."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def bpe_50k() -> str:
+    return installed("byte_bpe_50k.json")
 
 
 @query("op1_best_fit_packing")
@@ -114,3 +118,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op12_language_model_scores")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.language_model_scores(table(spark, folder, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned_tokens(table(spark, folder, "documents"), bpe_50k(), installed("piece_bpe_32k.model"))

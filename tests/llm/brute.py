@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import string
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +92,61 @@ def personal_data(text):
         for m in re.finditer(pattern, text or ""):
             if check(m.group()):
                 yield kind, m.start(), m.end()
+
+
+def language_model(rows, order, prior):
+    """(doc, held out, tokens, known, training tokens, base, score) of every (doc, text)."""
+    lower, counts, every = str.maketrans(string.ascii_uppercase, string.ascii_lowercase), [Counter() for _ in range(order + 1)], []
+    for doc, text in rows:
+        seq = [1, *words((text or "").translate(lower)), 2]
+        held = zlib.crc32(b"" if doc is None else str(doc).encode()) % 7 == 2
+        every.append((doc, held, seq))
+        if not held:
+            for k in range(1, order + 1):
+                counts[k].update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
+    single = {k[0]: n for k, n in counts[1].items() if k != (1,)}
+    total, types = sum(single.values()), len(single)
+
+    def p(context, w):
+        if not context:
+            return (single.get(w, 0) + 1) / (total + types + 1)
+        n = counts[len(context)][context]
+        return (counts[len(context) + 1][(*context, w)] + prior * p(context[1:], w)) / (n + prior) if n else p(context[1:], w)
+
+    for doc, held, seq in every:
+        base = sum(math.log10(p((), w)) for w in seq[1:])
+        score = sum(math.log10(p(tuple(seq[max(0, i - order + 1) : i]), seq[i])) for i in range(1, len(seq)))
+        yield doc, held, len(seq) - 1, sum(w in single for w in seq[1:]), total, base, score
+
+
+def spans(tokens):
+    at = 0
+    for t in tokens:
+        yield at, at + len(t)
+        at += len(t)
+
+
+def alignment(rows, encode_a, encode_b):
+    """(doc, a, b, groups, links, best, sum, digest); the encoders give (id, bytes) of each token of a text."""
+    out, counts = [], Counter()
+    for doc, text in rows:
+        a, b, wanted = encode_a(text or ""), encode_b(text or ""), (" " + (text or "")).encode()
+        if not text or any(b"".join(t for _, t in x) != wanted for x in (a, b)):
+            out.append((doc, [], [], [], []))
+            continue
+        at_a, at_b = list(spans([t for _, t in a])), list(spans([t for _, t in b]))
+        links = [(a[i][0], b[j][0]) for i, (p, q) in enumerate(at_a) for j, (r, s) in enumerate(at_b) if p < s and r < q]
+        cuts = sorted({q for _, q in at_a} & {s for _, s in at_b})
+        groups = []
+        for low, high in zip([0, *cuts], cuts, strict=False):
+            sides = [[str(x[i][0]) for i, (p, q) in enumerate(at) if low <= p and q <= high] for x, at in ((a, at_a), (b, at_b))]
+            groups.append(",".join(sides[0]) + "|" + ",".join(sides[1]))
+        counts.update(links)
+        out.append((doc, a, b, groups, links))
+    top = {}
+    for (_, b), n in counts.items():
+        top[b] = max(top.get(b, 0), n)
+    for doc, a, b, groups, links in out:
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        best, total = sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links)
+        yield doc, len(a), len(b), len(groups), len(links), best, total, digest
