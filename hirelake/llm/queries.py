@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import alignment, backoff, jaccard, mixing, packing, pii, quality, quotes, substrings, token_output, toxicity, vectors
+from hirelake.llm import alignment, backoff, jaccard, mixing, negatives, packing, pii, quality, quotes, substrings, token_output, toxicity, vectors
 from hirelake.llm.quotes_sql import QUOTES_SQL
 from hirelake.session import run_folder
 
@@ -120,6 +120,33 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, folder, "embeddings"))
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.k AS a, a.vec_id AS anchor_id, v.k, v.vec_id, v.label = a.label AS same,
+         list_sum(list_transform(list_zip(a.q, v.q), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.k <> a.k),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, k) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST, s.k)::INT AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = negatives.integer_vectors(table(spark, folder, "embeddings"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query("op12_language_model_scores")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.language_model_scores(table(spark, folder, "documents"))

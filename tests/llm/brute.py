@@ -150,3 +150,22 @@ def alignment(rows, encode_a, encode_b):
         digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
         best, total = sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links)
         yield doc, len(a), len(b), len(groups), len(links), best, total, digest
+
+
+def hard_negatives(rows):
+    """(anchor, positive, rank, negative, positive score, negative score) of (vec_id, components, label) rows, in order."""
+    kept = []
+    for i, (vec, x, label) in enumerate(rows):
+        if label is None or x is None or any(c is None or not math.isfinite(c) for c in x):
+            continue
+        moved = (label + 1) % 10 if vec is not None and vec % 7 == 0 else label
+        kept.append((i, vec, moved, [math.floor(256 * c) for c in x]))
+    for i, vec, label, x in kept:
+        if vec is None or vec % 100:
+            continue
+        met = [(-sum(p * q for p, q in zip(x, y, strict=False)), w is None, w or 0, j, w, m) for j, w, m, y in kept if j != i]
+        met.sort(key=lambda r: r[:4])
+        for p in [r for r in met if r[5] == label][:5]:
+            window = [r for r in met if r[5] != label and 30 * -p[0] <= 100 * -r[0] <= 90 * -p[0]]
+            for rank, r in enumerate(window[:10], 1):
+                yield vec, p[4], rank, r[4], -p[0], -r[0]
