@@ -52,19 +52,27 @@ class TwoEncoders:
         self.after_line: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _learn(self, words: set[str], cache: dict, lead: str) -> None:
-        if len(cache) + len(words) > self.cache_words:
-            cache.clear()
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
         cache.update(dict.fromkeys(words))
         if not plain:
             return
-        a = [np.array(x, "<u4").tobytes() for x in self.a.merges.encode_ordinary_batch([lead + w for w in plain], num_threads=1)]
-        b = self.b.encode(plain if lead == " " else [lead + w for w in plain], num_threads=1)
-        for w, x, y in zip(plain, a, b, strict=True):
-            # Before a newline the model puts the blank that begins a text; inside a text it is not there.
-            y = y if lead == " " else y[1:]
-            if b"".join([self.bytes_b[i] for i in y]) == (lead + w).encode():
-                cache[w] = x, np.array(y, "<u4").tobytes()
+        text = lead.join(["", *plain])
+        a = self.a.merges.encode_ordinary(text)
+        # The model puts a blank before a text, which is the first word's own unless a newline comes first.
+        b = self.b.encode(text[1:] if lead == " " else text, num_threads=1)[lead != " " :]
+        if b"".join([self.bytes_b[i] for i in b]) != text.encode():
+            if len(plain) > 1:
+                half = len(plain) // 2
+                self._learn(set(plain[:half]), cache, lead)
+                self._learn(set(plain[half:]), cache, lead)
+            return
+        ends = np.cumsum([len(w.encode()) + 1 for w in plain])
+        parts = []
+        for ids, lengths in ((np.array(a, "<u4"), self.length_a), (np.array(b, "<u4"), self.length_b)):
+            cut = 4 * (np.searchsorted(np.cumsum(lengths[ids]), ends) + 1)
+            data = ids.tobytes()
+            parts.append([data[i:j] for i, j in zip([0, *cut.tolist()], cut.tolist(), strict=False)])
+        cache.update(zip(plain, zip(*parts, strict=True), strict=True))
 
     def _whole(self, text: str) -> tuple[bytes, bytes]:
         wanted, b = (" " + text).encode(), self.b.encode(text, num_threads=1)
@@ -77,6 +85,9 @@ class TwoEncoders:
         """No ids for empty texts and for those whose tokens' bytes are not blank + text."""
         lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
         blank, line = self.after_blank, self.after_line
+        if len(blank) + len(line) > self.cache_words:
+            blank.clear()
+            line.clear()
         new = {w for t in lines for ws in t for w in ws[1:] if w not in blank} | {t[0][0] for t in lines if t[0][0] not in blank}
         self._learn(new, blank, " ")
         self._learn({ws[0] for t in lines for ws in t[1:] if ws[0] not in line}, line, "\n")
@@ -88,7 +99,7 @@ class TwoEncoders:
                     units.append(line[ws[0]])
                     units += [blank[w] for w in ws[1:]]
                 out.append((b"".join([u[0] for u in units]), b"".join([u[1] for u in units])))
-            except (TypeError, KeyError):  # an odd word, or one that the bounded cache let go
+            except TypeError:  # an odd word
                 out.append(self._whole(text) if text else (b"", b""))
         return out
 
