@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise
+from hirelake.llm.common import materialise, per_worker
 from hirelake.llm.encode import BpeEncoder, text_runs
 
 #: A document's place in its run stands above the byte offset in a document-end key.
@@ -202,7 +202,8 @@ def linked_documents(docs: DataFrame, bpe_file: str, piece_model: str, chunk_cha
     """Every document's tokens, groups and links, and per chunk of consecutive documents its pairs with partial counts."""
 
     def run(batches):
-        encoders, held, found, tables, chars = TwoEncoders(bpe_file, piece_model), [], 0, [], 0
+        held, found, tables, chars = [], 0, [], 0
+        encoders = per_worker("two", (bpe_file, piece_model), lambda: TwoEncoders(bpe_file, piece_model))
         size_a, size_b = len(encoders.length_a), len(encoders.length_b)
         texts = pa.array(
             [f"{i}{c}" for i in range(size_a) for c in ",|"] + [f"{i}{c}" for i in range(size_b) for c in ",;"], pa.large_string()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +25,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_worker(kind: str, key: object, make):
+    """One object of a kind per Python worker, made by the first task that asks for this key and kept for the next ones."""
+    store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    held = getattr(store, kind, None)
+    if held is None or held[0] != key:
+        setattr(store, kind, None)  # the old one goes before the new one comes
+        held = (key, make())
+        setattr(store, kind, held)
+    return held[1]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,8 @@ class BpeEncoder:
     The pre-tokenizer of these files never joins what a single blank or a single newline parts, so a text is the
     concatenation of its words' ids, and each distinct word is encoded once. Anything that this does not cover (runs of
     white space, blanks at either end, special tokens, a file of another make) goes to `tokenizers` as a whole text.
-    `cache_words` bounds the cache.
+    The cache is emptied once it
+    holds more than `cache_words`.
     """
 
     def __init__(self, path: str, cache_words: int = 400_000):
@@ -64,9 +65,6 @@ class BpeEncoder:
         words = list(words.difference(odd))
         if not words:
             return
-        if len(cache) + len(words) > self.cache_words:
-            cache.clear()
-            cache.update(dict.fromkeys(odd))
         ids = np.array(self.merges.encode_ordinary(lead + lead.join(words)), dtype="<u4")
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
         cut = np.searchsorted(np.cumsum(self.length_of[ids]), ends) + 1
@@ -79,6 +77,10 @@ class BpeEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.merges is None:
             return [self._by_tokenizers(t) for t in texts]
+        # Emptied between runs only, so that no text of a run misses a word.
+        for cache in (self.by_blank, self.by_line):
+            if len(cache) > self.cache_words:
+                cache.clear()
         lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
         new = {w for t in lines for ws in t for w in ws[1:] if w not in self.by_blank}
         first = {ws[0] for t in lines for ws in t if ws[0] not in self.by_line}
@@ -90,7 +92,7 @@ class BpeEncoder:
                 if any(s in text for s in self.special):
                     raise KeyError
                 out.append(self.newline.join([lead(ws[0]) + b"".join(map(get, ws[1:])) for ws in rows]))
-            except (TypeError, KeyError):  # an odd word, or one that the bounded cache let go
+            except (TypeError, KeyError):  # an odd word or a special token
                 out.append(self._by_tokenizers(text))
         return out
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise
+from hirelake.llm.common import materialise, per_worker
 from hirelake.llm.encode import BpeEncoder, text_runs
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -28,7 +28,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame
     """
 
     def run(batches):
-        encoder = BpeEncoder(tokenizer)
+        encoder = per_worker("bpe", tokenizer, lambda: BpeEncoder(tokenizer))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in text_runs(texts):
@@ -107,5 +107,5 @@ def best_fit_packing(
         table = table.append_column("sequence_id", pa.array([first + w for w in where], pa.int64()))
         return table.append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(pack, PIECES + ", sequence_id long, offset long")

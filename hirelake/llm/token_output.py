@@ -8,6 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.llm.common import per_worker
 from hirelake.llm.encode import BpeEncoder, text_runs
 from hirelake.llm.packing import cut_points
 
@@ -80,22 +81,30 @@ def packed_sequences(
     """
 
     def close(pieces: list[tuple], first: int) -> pa.RecordBatch:
-        out = []
-        for n, items in enumerate(best_fit_decreasing([len(p[3]) // 4 for p in pieces], size)):
-            own = [pieces[i] for i in items]
-            ids = np.full(size, pad_id, dtype=np.int32)
-            data = np.frombuffer(b"".join(p[3] for p in own), dtype="<u4")
-            ids[: len(data)] = data
-            bounds = np.cumsum([0, *[len(p[3]) // 4 for p in own]]).tolist()
-            parts = [[p[k] for p in own] for k in range(3)]
-            out.append((first + n, len(data), ids, bounds, bounds[:-1], *parts))
-        lists = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-        kinds = [pa.int64(), pa.int32(), *[pa.list_(k) for k in lists]]
-        names = [x.split()[0] for x in ROWS.split(", ")]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        bins = best_fit_decreasing([len(p[3]) // 4 for p in pieces], size)
+        own = [pieces[i] for items in bins for i in items]
+        matrix = np.full((len(bins), size), pad_id, dtype=np.int32)
+        lengths = np.array([len(p[3]) // 4 for p in own])
+        segments = np.cumsum([0, *map(len, bins)])
+        used = np.add.reduceat(lengths, segments[:-1])
+        at = 0
+        for row, n, items in zip(matrix, used.tolist(), bins, strict=True):
+            row[:n] = np.frombuffer(b"".join([p[3] for p in own[at : at + len(items)]]), dtype="<u4")
+            at += len(items)
+        # Where a segment begins in its row; a row's bounds are these and its number of tokens.
+        begins = np.cumsum(lengths) - lengths - np.repeat(np.cumsum(used) - used, np.diff(segments))
+        bounds = np.insert(begins, segments[1:], used)
+        lists = lambda values, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+        columns = [
+            pa.array(np.arange(first, first + len(bins))), pa.array(used, pa.int32()),
+            lists(matrix.reshape(-1), np.arange(len(bins) + 1) * size, pa.int32()),
+            lists(bounds, segments + np.arange(len(bins) + 1), pa.int32()), lists(begins, segments, pa.int32()),
+            *[lists([p[k] for p in own], segments, kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))],
+        ]
+        return pa.record_batch(columns, names=[x.split()[0] for x in ROWS.split(", ")])
 
     def run(batches):
-        encoder, pieces, held = BpeEncoder(tokenizer), [], 0
+        encoder, pieces, held = per_worker("bpe", tokenizer, lambda: BpeEncoder(tokenizer)), [], 0
         first = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
