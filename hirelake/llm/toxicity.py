@@ -1,16 +1,18 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over all terms of the examples, calibrated votes."""
+"""Toxicity from the nearest labelled examples: exact TF-IDF cosine by a block-max index of all their terms, calibrated votes."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise
+from hirelake.llm.common import materialise, per_worker
 from hirelake.llm.words import LETTER, TextRun, mix, text_runs
 
 #: Beside whole words, their first so many bytes are terms: endings vary more than stems.
@@ -76,15 +78,23 @@ def term_counts(run: TextRun, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     return key // len(vocabulary), key % len(vocabulary), n
 
 
-class ExampleIndex:
-    """The examples' vectors by term: the commonest terms as a dense matrix, all others as postings.
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one after the other."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
-    `nearest_of` is exact: it adds up the cosine of every example, for `block` queries at a time. Equal cosines rank by
-    example number.
+
+class BlockMaxIndex:
+    """The examples' vectors by term: the commonest terms as a dense matrix, all others as postings in blocks of examples.
+
+    Each (term, block of examples) knows its largest weight. A query first takes what the common terms give all examples;
+    the k-th best of that is a cosine that the final k-th best cannot be below. A block is then read only if the best of
+    its examples so far plus the query's weights times the largest weights of the block reaches it. So `nearest_of` is
+    exact. Equal cosines rank by example number. `block` queries are taken at a time.
     """
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16):
-        self.idf, self.block, self.size = idf, block, len(examples)
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16, examples_per_block: int = 64):
+        self.idf, self.block, self.size, self.span = idf, block, len(examples), examples_per_block
+        self.blocks = -(-self.size // self.span)
         term = np.concatenate([t for t, _ in examples] or [np.zeros(0)], dtype=np.int32, casting="unsafe")
         weight = np.concatenate([self.weights(t, n) for t, n in examples] or [np.zeros(0)])
         owner = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in examples])
@@ -92,21 +102,26 @@ class ExampleIndex:
         common = np.argsort(-length, kind="stable")[:DENSE]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.size))
+        self.dense = np.zeros((len(common), self.blocks * self.span))
         at = self.column[term]
         self.dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
         term, owner, weight = term[at < 0], owner[at < 0], weight[at < 0]
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
+        term, self.owner, self.weight = term[order], owner[order], weight[order]
+        cell = term.astype(np.int64) * max(self.blocks, 1) + self.owner // self.span
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self.begin = np.append(first, len(cell))
+        self.block_of = (cell[first] % max(self.blocks, 1)).astype(np.int32)
+        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.start = np.zeros(len(idf) + 1, dtype=np.int64)
-        np.cumsum(np.bincount(term, minlength=len(idf)), out=self.start[1:])
+        np.cumsum(np.bincount(term[first], minlength=len(idf)), out=self.start[1:])
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Queries by examples."""
+    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+        """Queries by examples; examples of blocks that cannot be among the first k keep what they have so far."""
         term = np.concatenate([t for t, _ in queries]).astype(np.int64)
         weight = np.concatenate([self.weights(t, n) for t, n in queries])
         query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
@@ -115,11 +130,19 @@ class ExampleIndex:
         head[query[at >= 0], at[at >= 0]] = weight[at >= 0]
         total = head @ self.dense
         term, weight, query = term[at < 0], weight[at < 0], query[at < 0]
-        begin = self.start[term]
-        n = self.start[term + 1] - begin
-        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        cell = np.repeat(query * self.size, n) + self.owner[entry]
-        return total + np.bincount(cell, np.repeat(weight, n) * self.weight[entry], total.size).reshape(total.shape)
+        cells = self.start[term + 1] - self.start[term]
+        cell, query, weight = _ranges(self.start[term], cells), np.repeat(query, cells), np.repeat(weight, cells)
+        place = query * self.blocks + self.block_of[cell]
+        most = np.bincount(place, weight * self.largest[cell], len(queries) * self.blocks).reshape(-1, self.blocks).astype(float)
+        most += total.reshape(len(queries), self.blocks, self.span).max(axis=2)
+        least = np.partition(total[:, : self.size], -k, axis=1)[:, -k] if self.size >= k else np.zeros(len(queries))
+        read = (most >= least[:, None] - 1e-8).ravel()[place]
+        cell, query, weight = cell[read], query[read], weight[read]
+        n = self.begin[cell + 1] - self.begin[cell]
+        entry = _ranges(self.begin[cell], n)
+        where = np.repeat(query * total.shape[1], n) + self.owner[entry]
+        total += np.bincount(where, np.repeat(weight, n) * self.weight[entry], total.size).reshape(total.shape)
+        return total[:, : self.size]
 
     def nearest_of(
         self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None
@@ -129,9 +152,10 @@ class ExampleIndex:
             return [[] for _ in queries]
         out = []
         for a in range(0, len(queries), self.block):
-            cosine = self._cosines(queries[a : a + self.block])
+            cosine = self._cosines(queries[a : a + self.block], k + (but is not None))
             if but is not None:
-                cosine[np.arange(len(cosine)), but[a : a + self.block]] = 0
+                own = np.array(but[a : a + self.block])
+                cosine[np.flatnonzero(own >= 0), own[own >= 0]] = 0
             # Cosine and example in one whole number, all different: what is cut off is never one of several equals.
             rank = np.rint(cosine * 1e9).astype(np.int64) * self.size + np.arange(self.size - 1, -1, -1)
             best = np.partition(rank, -k, axis=1)[:, -k:] if self.size > k else rank
@@ -145,10 +169,6 @@ class ExampleIndex:
         return [x for x in found if x[0] != but][:k]
 
 
-#: The name it has in earlier tests.
-BlockMaxIndex = ExampleIndex
-
-
 @dataclass(frozen=True)
 class Vote:
     """Share of label 1 among the nearest `neighbours`: each weighs cosine ** power over its distance, and a weight of
@@ -166,6 +186,36 @@ class Vote:
         return sum(w * labels[i] for w, (i, _) in zip(weights, found, strict=False)) / (self.doubt + sum(weights))
 
 
+@dataclass
+class Examples:
+    """All examples' terms and counts one after the other, in order of doc_id; bounded by their number."""
+
+    vocabulary: Vocabulary
+    term: np.ndarray
+    count: np.ndarray
+    start: np.ndarray
+    doc_ids: list[int]
+    label: np.ndarray
+    idf: np.ndarray | None = None
+    share: np.ndarray | None = None
+
+    @classmethod
+    def received(cls, sent: Broadcast) -> Examples:
+        """Only plain arrays travel in a broadcast, so that a worker needs no class of this package to read them."""
+        values = dict(sent.value)
+        return cls(Vocabulary(values.pop("terms")), **values)
+
+    def plain(self) -> dict:
+        names = ("term", "count", "start", "doc_ids", "label", "idf", "share")
+        return {"terms": self.vocabulary.terms[: len(self.vocabulary)]} | {n: getattr(self, n) for n in names}
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.term[self.start[i] : self.start[i + 1]], self.count[self.start[i] : self.start[i + 1]]
+
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.vector(i) for i in range(len(self.label))]
+
+
 def strengths(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> np.ndarray:
     """How much each term says about the label: size of its smoothed log odds, and a little for all."""
     terms = [t for t, _ in vectors] or [np.zeros(0, np.int64)]
@@ -177,25 +227,48 @@ def strengths(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return 0.05 + np.abs(odds)
 
 
-def cross_validated(
-    vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, neighbours: int
-) -> tuple[int, Vote, list[float | None]]:
+def fold_of(n: int) -> np.ndarray:
+    return np.arange(n) % 5
+
+
+def fold_neighbours(examples: Examples, by_strength: int, j: int, neighbours: int) -> list[list[tuple[int, float]]]:
+    """The nearest of the other four fifths for each example of fifth `j`; only those four's labels give the strengths."""
+    fold = fold_of(len(examples.label))
+    rest, own = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
+    others = [examples.vector(i) for i in rest]
+    index = BlockMaxIndex(others, examples.idf * strengths(others, examples.label[rest], len(examples.idf)) ** by_strength)
+    found = index.nearest_of([examples.vector(i) for i in own], neighbours)
+    return [[(int(rest[x]), c) for x, c in near] for near in found]
+
+
+def cross_validated(spark: SparkSession, examples: Broadcast, neighbours: int) -> tuple[int, Vote, list[float | None]]:
     """Whether terms count by TF-IDF alone (0) or times their strength (1), which vote, and the examples' votes.
 
-    Each fifth of the examples votes over the other four, whose labels alone give the strengths. Of all choices the one
-    with the least log loss is taken, calibrated on four fifths and held against the fifth; of equal ones the first.
+    Each fifth of the examples votes over the other four, one task for each fifth and form. Of all choices the one with
+    the least log loss is taken, calibrated on four fifths and held against the fifth; of equal ones the first.
     """
-    fold = np.arange(len(labels)) % 5
+
+    def run(batches):
+        own_examples = Examples.received(examples)
+        for batch in batches:
+            for form, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = fold_neighbours(own_examples, form, j, neighbours)
+                near = [[{"i": i, "c": c} for i, c in f] for f in found]
+                kind = pa.list_(pa.struct([("i", pa.int32()), ("c", pa.float64())]))
+                own = np.flatnonzero(fold_of(len(own_examples.label)) == j)
+                columns = [pa.array([form] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(near, kind)]
+                yield pa.record_batch(columns, names=["form", "example", "near"])
+
+    todo = spark.range(10).select((F.col("id") % 2).cast("int").alias("form"), F.floor(F.col("id") / 2).cast("int").alias("fold"))
+    rows = todo.repartition(10, "form", "fold").mapInArrow(run, "form int, example int, near array<struct<i:int,c:double>>").collect()
+    labels, weights = examples.value["label"], examples.value["share"]
+    fold = fold_of(len(labels))
     best, least = (0, Vote(neighbours), [None] * len(labels)), np.inf
-    for by_strength in (0, 1):
-        found: list[list[tuple[int, float]]] = [[] for _ in vectors]
-        for j in range(5):
-            rest, own = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
-            others = [vectors[i] for i in rest]
-            index = ExampleIndex(others, idf * strengths(others, labels[rest], len(idf)) ** by_strength)
-            for i, near in zip(own, index.nearest_of([vectors[i] for i in own], neighbours), strict=True):
-                found[i] = [(int(rest[x]), c) for x, c in near]
-            del index
+    for form in (0, 1):
+        found: list[list[tuple[int, float]]] = [[] for _ in labels]
+        for r in rows:
+            if r.form == form:
+                found[r.example] = [(x.i, x.c) for x in r.near]
         for k in [neighbours, *(n for n in (7, 3) if n < neighbours)]:
             for power, doubt in ((1.0, 1.0), (1.0, 0.1), (1.0, 0.01), (3.0, 0.1), (3.0, 0.01)):
                 vote = Vote(k, power, doubt)
@@ -207,7 +280,7 @@ def cross_validated(
                     p = np.clip([told(votes[i]) for i in own], 1e-3, 1 - 1e-3)
                     loss -= float((weights[own] * np.log(np.where(labels[own] == 1, p, 1 - p))).sum())
                 if loss < least - 1e-9:
-                    best, least = (by_strength, vote, votes), loss
+                    best, least = (form, vote, votes), loss
     return best
 
 
@@ -256,8 +329,11 @@ def _examples(docs: DataFrame, labels: DataFrame, each: int) -> tuple[DataFrame,
     return materialise(kinds[0].unionByName(kinds[1]), "examples"), counts
 
 
-def _example_vectors(texts: DataFrame) -> tuple[Vocabulary, list[tuple[np.ndarray, np.ndarray]], list[int], np.ndarray]:
-    """All terms of the examples, and of each example its terms and counts, doc_id and label, by doc_id."""
+def _example_vectors(texts: DataFrame) -> Examples:
+    """All terms of the examples, and of each example its terms and counts, doc_id and label, by doc_id.
+
+    Rows are taken one after the other and only their numbers kept, so the driver holds the vectors once.
+    """
 
     def run(batches):
         for batch in batches:
@@ -272,13 +348,26 @@ def _example_vectors(texts: DataFrame) -> tuple[Vocabulary, list[tuple[np.ndarra
                 yield pa.record_batch(sides + columns, names=["doc_id", "toxic", "terms", "counts"])
 
     schema = "doc_id long, toxic int, terms binary, counts binary"
-    rows = texts.select("text", "doc_id", "toxic").mapInArrow(run, schema).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.terms), bytes(r.counts)))
-    terms = [np.frombuffer(r.terms, dtype=np.uint64) for r in rows]
-    every = np.unique(np.concatenate(terms)) if rows else np.zeros(0, np.uint64)
-    vectors = [(np.searchsorted(every, t).astype(np.int32), np.frombuffer(r.counts, dtype=np.int32)) for t, r in zip(terms, rows, strict=True)]
-    label = np.array([r.toxic for r in rows], dtype=np.int64)
-    return Vocabulary(every), vectors, [r.doc_id for r in rows], label
+    rows = materialise(texts.select("text", "doc_id", "toxic").mapInArrow(run, schema), "example-vectors")
+    terms = rows.select("terms").mapInArrow(_distinct, "term long").distinct().toArrow().column("term").to_numpy()
+    every = np.sort(terms.view(np.uint64))
+    numbers, counts, keys = [], [], []
+    # One row at a time, by order of id; equal rows are alike, so their order makes no difference.
+    for r in rows.orderBy("doc_id", "toxic", "terms", "counts").toLocalIterator():
+        numbers.append(np.searchsorted(every, np.frombuffer(r.terms, np.uint64)).astype(np.int32))
+        counts.append(np.frombuffer(r.counts, np.int32))
+        keys.append((r.doc_id, r.toxic))
+    start = np.cumsum([0, *map(len, numbers)])
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (numbers, counts)]
+    return Examples(Vocabulary(every), *flat, start, [d for d, _ in keys], np.array([t for _, t in keys], dtype=np.int64))
+
+
+def _distinct(batches):
+    """Distinct terms of a batch of rows of term digests."""
+    for batch in batches:
+        parts = [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+        every = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        yield pa.record_batch([pa.array(every.view(np.int64))], names=["term"])
 
 
 def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -302,26 +391,41 @@ def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarra
 
 @dataclass
 class Model:
-    """A fitted index; its size is bounded by the number of examples."""
+    """A fitted index; its size is bounded by the number of examples. Workers get the examples once and build it once."""
 
-    index: ExampleIndex
-    label: np.ndarray
-    doc_ids: list[int]
+    examples: Broadcast
+    by_strength: int
     vote: Vote
     calibrated: Calibration
     vocabulary: Vocabulary
     neighbours: int
+    key: str
 
-    def scores(self, column: pa.Array) -> list[tuple[float, list[dict]]]:
-        """(score, evidence) of each text."""
-        out = []
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "vocabulary"}
+
+    def index(self) -> tuple[BlockMaxIndex, Examples, dict[int, int]]:
+        """The index, the examples and the place of each by doc_id."""
+
+        def build():
+            e = Examples.received(self.examples)
+            vectors = e.vectors()
+            index = BlockMaxIndex(vectors, e.idf * strengths(vectors, e.label, len(e.idf)) ** self.by_strength)
+            return index, e, {d: i for i, d in enumerate(e.doc_ids)}
+
+        return per_worker("toxicity", self.key, build)
+
+    def scores(self, column: pa.Array, ids: pa.Array | None = None) -> list[tuple[float, list[dict]]]:
+        """(score, evidence) of each text; with `ids`, an example is not its own neighbour."""
+        out, (index, e, place) = [], self.index()
+        own = [-1] * len(column) if ids is None else [place.get(d, -1) for d in ids.to_pylist()]
         for a, b, t in text_runs(_lower(column)):
-            owner, term, n = term_counts(t, self.vocabulary)
+            owner, term, n = term_counts(t, e.vocabulary)
             cuts = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
             queries = [(term[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-            for found in self.index.nearest_of(queries, self.neighbours):
-                proof = [{"doc_id": self.doc_ids[i], "toxic": int(self.label[i]), "cosine": c} for i, c in found[:3]]
-                out.append((self.calibrated(self.vote(found, self.label)), proof))
+            for found in index.nearest_of(queries, self.neighbours, own[a:b]):
+                proof = [{"doc_id": e.doc_ids[i], "toxic": int(e.label[i]), "cosine": c} for i, c in found[:3]]
+                out.append((self.calibrated(self.vote(found, e.label)), proof))
         return out
 
 
@@ -333,14 +437,15 @@ def fitted(docs: DataFrame, labels: DataFrame, examples_each: int = 4096, neighb
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     picked, counts = _examples(docs, labels, examples_each)
-    vocabulary, vectors, doc_ids, label = _example_vectors(docs.join(F.broadcast(picked), "doc_id"))
-    df, n = _document_counts(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    here = np.bincount(label, minlength=2)
-    weights = np.array([counts[t] / here[t] for t in label.tolist()])
-    by_strength, vote, votes = cross_validated(vectors, label, weights, idf, neighbours)
-    index = ExampleIndex(vectors, idf * strengths(vectors, label, len(idf)) ** by_strength)
-    return Model(index, label, doc_ids, vote, Calibration(votes, label, weights), vocabulary, neighbours)
+    examples = _example_vectors(docs.join(F.broadcast(picked), "doc_id"))
+    df, n = _document_counts(docs, examples.vocabulary)
+    here = np.bincount(examples.label, minlength=2)
+    examples.idf = np.log((1 + n) / (1 + df)) + 1
+    examples.share = np.array([counts[t] / here[t] for t in examples.label.tolist()])
+    spark, vocabulary, label, share = docs.sparkSession, examples.vocabulary, examples.label, examples.share
+    sent = spark.sparkContext.broadcast(examples.plain())
+    by_strength, vote, votes = cross_validated(spark, sent, neighbours)
+    return Model(sent, by_strength, vote, Calibration(votes, label, share), vocabulary, neighbours, uuid.uuid4().hex)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
@@ -352,13 +457,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFra
 
     Only the text is an input of a score. Null and empty text: scored as without known terms. Null doc_id: scored, not
     held out, never an example. Null toxic: no label; two labels for a document: the higher. Repeated rows: each scored
-    alike. No labels at all: score 0. Empty table: no rows. Other columns are not read.
+    alike. An example does not vote on itself. No labels at all: score 0. Empty table: no rows. Other columns are not read.
     """
     model = fitted(docs, labels, **parameters)
 
     def run(batches):
         for batch in batches:
-            out = model.scores(batch.column(0))
+            out = model.scores(batch.column(0), batch.column(1))
             score = np.array([s for s, _ in out], dtype=np.float64)
             kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             arrays = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([p for _, p in out], kinds)]
@@ -370,13 +475,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFra
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """`docs` without the documents whose score is 0.5 or more; the columns stay. Texts are scored where they lie."""
+    """`docs` without the documents whose score is 0.5 or more; the columns stay, whatever their names. Texts are scored where
+    they lie. Null ids and texts and repeated rows are scored as in `toxicity_scores`; an empty table stays empty."""
     model = fitted(docs, labels, **parameters)
 
     def run(batches):
         for batch in batches:
-            clean = pa.array([s < 0.5 for s, _ in model.scores(batch.column(1))], pa.bool_())
+            clean = pa.array([s < 0.5 for s, _ in model.scores(batch.column(1), batch.column(2))], pa.bool_())
             yield batch.select([0]).filter(clean)
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
