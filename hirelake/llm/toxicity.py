@@ -92,23 +92,38 @@ class BlockMaxIndex:
     exact. Equal cosines rank by example number. `block` queries are taken at a time.
     """
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16, examples_per_block: int = 64):
-        self.idf, self.block, self.size, self.span = idf, block, len(examples), examples_per_block
-        self.blocks = -(-self.size // self.span)
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16, examples_per_block: int = 256):
         term = np.concatenate([t for t, _ in examples] or [np.zeros(0)], dtype=np.int32, casting="unsafe")
-        weight = np.concatenate([self.weights(t, n) for t, n in examples] or [np.zeros(0)])
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in examples])
+        count = np.concatenate([n for _, n in examples] or [np.zeros(0, np.int32)])
+        owner = np.repeat(np.arange(len(examples), dtype=np.int32), [len(t) for t, _ in examples])
+        order = np.argsort(term, kind="stable")
+        self._build(term[order], owner[order], count[order], len(examples), idf, block, examples_per_block)
+
+    @classmethod
+    def of_postings(cls, term: np.ndarray, owner: np.ndarray, count: np.ndarray, size: int, idf: np.ndarray) -> BlockMaxIndex:
+        """From postings that are already in order of term and example: nothing is sorted or held twice."""
+        index = cls.__new__(cls)
+        index._build(term, owner, count, size, idf, 16, 256)
+        return index
+
+    def _build(self, term, owner, count, size: int, idf: np.ndarray, block: int, span: int) -> None:
+        self.idf, self.block, self.size, self.span = idf, block, size, span
+        self.blocks = -(-size // span)
+        weight = (1 + np.log(count)) * idf[term]
+        norm = np.sqrt(np.bincount(owner, weight * weight, size))
+        weight /= norm[owner]
         length = np.bincount(term, minlength=len(idf))
         common = np.argsort(-length, kind="stable")[:DENSE]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.blocks * self.span))
+        self.dense = np.zeros((len(common), self.blocks * span))
         at = self.column[term]
         self.dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
-        term, owner, weight = term[at < 0], owner[at < 0], weight[at < 0]
-        order = np.argsort(term, kind="stable")
-        term, self.owner, self.weight = term[order], owner[order], weight[order]
-        cell = term.astype(np.int64) * max(self.blocks, 1) + self.owner // self.span
+        rare = at < 0
+        del at
+        term, self.owner, self.weight = term[rare], owner[rare].astype(np.int32), weight[rare]
+        del weight, rare
+        cell = term.astype(np.int64) * max(self.blocks, 1) + self.owner // span
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
         self.begin = np.append(first, len(cell))
         self.block_of = (cell[first] % max(self.blocks, 1)).astype(np.int32)
@@ -188,12 +203,12 @@ class Vote:
 
 @dataclass
 class Examples:
-    """All examples' terms and counts one after the other, in order of doc_id; bounded by their number."""
+    """The examples' postings in order of term and example, examples by doc_id; bounded by the number of examples."""
 
     vocabulary: Vocabulary
     term: np.ndarray
+    owner: np.ndarray
     count: np.ndarray
-    start: np.ndarray
     doc_ids: list[int]
     label: np.ndarray
     idf: np.ndarray | None = None
@@ -206,21 +221,34 @@ class Examples:
         return cls(Vocabulary(values.pop("terms")), **values)
 
     def plain(self) -> dict:
-        names = ("term", "count", "start", "doc_ids", "label", "idf", "share")
+        names = ("term", "owner", "count", "doc_ids", "label", "idf", "share")
         return {"terms": self.vocabulary.terms[: len(self.vocabulary)]} | {n: getattr(self, n) for n in names}
 
-    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.term[self.start[i] : self.start[i + 1]], self.count[self.start[i] : self.start[i + 1]]
-
-    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [self.vector(i) for i in range(len(self.label))]
-
-
-def strengths(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> np.ndarray:
+    def vectors(self, which: np.ndarray):
+        """(terms, counts) of some examples."""
+        mine = np.zeros(len(self.label), dtype=bool)
+        mine[which] = True
+        at = np.flatnonzero(mine[self.owner])
+        at = at[np.argsort(self.owner[at], kind="stable")]
+        cuts = np.searchsorted(self.owner[at], which).tolist() + [len(at)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield self.term[at[i:j]], self.count[at[i:j]]
+
+    def index(self, by_strength: int, which: np.ndarray | None = None) -> BlockMaxIndex:
+        """Of all examples or of some, whose labels alone give the strengths."""
+        which = np.arange(len(self.label)) if which is None else which
+        number = np.full(len(self.label), -1, dtype=np.int32)
+        number[which] = np.arange(len(which))
+        owner = number[self.owner]
+        term, owner, count = (x[owner >= 0] for x in (self.term, owner, self.count))
+        idf = self.idf * strengths(term, owner, self.label[which], len(self.idf)) ** by_strength
+        return BlockMaxIndex.of_postings(term, owner, count, len(which), idf)
+
+
+def strengths(term: np.ndarray, owner: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
     """How much each term says about the label: size of its smoothed log odds, and a little for all."""
-    terms = [t for t, _ in vectors] or [np.zeros(0, np.int64)]
-    kind = np.repeat(labels, [len(t) for t in terms]) if len(labels) else np.zeros(0, np.int64)
-    in_one, in_zero = (np.bincount(np.concatenate(terms)[kind == k], minlength=size) for k in (1, 0))
+    kind = labels[owner]
+    in_one, in_zero = (np.bincount(term[kind == k], minlength=size) for k in (1, 0))
     ones, zeros = int(labels.sum()), int((1 - labels).sum())
     prior = 2 * ones / max(1, ones + zeros)
     odds = np.log((in_one + prior + 1e-9) / (ones + 2)) - np.log((in_zero + 2 - prior + 1e-9) / (zeros + 2))
@@ -235,9 +263,7 @@ def fold_neighbours(examples: Examples, by_strength: int, j: int, neighbours: in
     """The nearest of the other four fifths for each example of fifth `j`; only those four's labels give the strengths."""
     fold = fold_of(len(examples.label))
     rest, own = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
-    others = [examples.vector(i) for i in rest]
-    index = BlockMaxIndex(others, examples.idf * strengths(others, examples.label[rest], len(examples.idf)) ** by_strength)
-    found = index.nearest_of([examples.vector(i) for i in own], neighbours)
+    found = examples.index(by_strength, rest).nearest_of(list(examples.vectors(own)), neighbours)
     return [[(int(rest[x]), c) for x, c in near] for near in found]
 
 
@@ -357,9 +383,12 @@ def _example_vectors(texts: DataFrame) -> Examples:
         numbers.append(np.searchsorted(every, np.frombuffer(r.terms, np.uint64)).astype(np.int32))
         counts.append(np.frombuffer(r.counts, np.int32))
         keys.append((r.doc_id, r.toxic))
-    start = np.cumsum([0, *map(len, numbers)])
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (numbers, counts)]
-    return Examples(Vocabulary(every), *flat, start, [d for d, _ in keys], np.array([t for _, t in keys], dtype=np.int64))
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(n) for n in numbers])
+    term, count = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (numbers, counts))
+    del numbers, counts
+    order = np.argsort(term, kind="stable")
+    label = np.array([t for _, t in keys], dtype=np.int64)
+    return Examples(Vocabulary(every), term[order], owner[order], count[order], [d for d, _ in keys], label)
 
 
 def _distinct(batches):
@@ -409,9 +438,7 @@ class Model:
 
         def build():
             e = Examples.received(self.examples)
-            vectors = e.vectors()
-            index = BlockMaxIndex(vectors, e.idf * strengths(vectors, e.label, len(e.idf)) ** self.by_strength)
-            return index, e, {d: i for i, d in enumerate(e.doc_ids)}
+            return e.index(self.by_strength), e, {d: i for i, d in enumerate(e.doc_ids)}
 
         return per_worker("toxicity", self.key, build)
 
