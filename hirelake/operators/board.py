@@ -78,14 +78,20 @@ class Viewer:
 
 
 def place_lists(places: DataFrame) -> DataFrame:
-    """Per posting: its distinct cities and countries and whether any place is known.
+    """Per posting: its distinct cities and countries, in the order of the place rows' ids where they have any, and whether
+    any place is known.
 
     A posting has at most a few dozen place rows, so the lists stay small.
     """
-    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    order = F.col("id") if "id" in places.columns else F.lit(0)
+
+    def names(c: str) -> Column:
+        placed = F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct(order.alias("at"), F.col(c).alias("name")))))
+        return F.array_distinct(F.transform(placed, lambda x: x["name"]))
+
     return places.groupBy("posting_id").agg(
-        F.array_sort(F.collect_set(named("city"))).alias("city_list"),
-        F.array_sort(F.collect_set(named("country"))).alias("country_list"),
+        names("city").alias("city_list"),
+        names("country").alias("country_list"),
         F.max((F.col("city") != "") | (F.col("country") != "")).alias("place_known"),
     )
 

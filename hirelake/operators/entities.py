@@ -168,16 +168,28 @@ def seed_companies(companies: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def find_or_create_company(companies: DataFrame, names: DataFrame, new_id: Column | None = None) -> DataFrame:
-    """(name, id, created) per distinct requested name; an unknown one becomes a PENDING company."""
+def find_or_create_company(companies: DataFrame, names: DataFrame, new_id: Column | None = None, as_of: Column | None = None) -> DataFrame:
+    """(name, id, created) per distinct requested name; an unknown one becomes a PENDING company.
+
+    Ids are made from the name and `as_of`, the time of the call: a company that was renamed keeps its id, and another one
+    may then ask for its first name.
+    """
     if new_id is None:
-        new_id = F.sha2(F.col("_key"), 256)
+        made = F.col("_key") if as_of is None else F.concat_ws("|", F.col("_key"), as_of.cast("string"))
+        taken = companies.select(F.col("id").cast("string").alias("_made"), F.lit(True).alias("_taken")).distinct()
+        new_id = F.sha2(made, 256)
+    else:
+        taken = None
     asked = names.select(F.trim("name").alias("name")).withColumn("_key", name_key(F.col("name")))
     asked = top_per_key(asked, ["_key"], [F.col("name")])
+    asked = asked.withColumn("_made", new_id.cast("string"))
+    if taken is not None:
+        again = F.sha2(F.concat("_made", F.lit("|"), "_key"), 256)
+        asked = asked.join(taken, "_made", "left").withColumn("_made", F.when(F.col("_taken"), again).otherwise(F.col("_made")))
     known = companies.groupBy(name_key(F.col("name")).alias("_key")).agg(F.min_by("name", "id").alias("_name"), F.min("id").alias("_id"))
     return asked.join(known, "_key", "left").select(
         F.coalesce("_name", "name").alias("name"),
-        F.coalesce(F.col("_id").cast("string"), new_id.cast("string")).alias("id"),
+        F.coalesce(F.col("_id").cast("string"), "_made").alias("id"),
         F.col("_id").isNull().alias("created"),
     )
 

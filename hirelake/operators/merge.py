@@ -310,6 +310,24 @@ def sync_places(stored_places: DataFrame, sent: DataFrame) -> DataFrame:
     )
 
 
+def offer_id(seen_at: Column) -> Column:
+    """Id of a new posting: all its keys and the time of its batch. A stored row keeps its id while its url, title and key
+    may change, so no single key of a new row tells that no stored row was once made from it."""
+    keys = F.struct("company_id", *MATCH_KEYS, seen_at.cast("string").alias("seen_at"))
+    return F.sha2(F.to_json(keys, {"ignoreNullFields": "false"}), 256)
+
+
+def with_free_ids(rows: DataFrame, stored: DataFrame, given: bool) -> DataFrame:
+    """New rows whose id no stored row has: a made id that is taken is digested once more, a given one is refused."""
+    taken = stored.select("id").join(rows.select("id"), "id", "left_semi").distinct().withColumn("_taken", F.lit(True))
+    if given:
+        other = F.raise_error(F.concat(F.lit("a stored posting has the id "), F.col("id").cast("string"))).cast(rows.schema["id"].dataType)
+    else:
+        other = F.sha2(F.concat("id", F.lit("|"), "url"), 256)
+    names = rows.columns
+    return rows.join(taken, "id", "left").withColumn("id", F.when(F.col("_taken"), other).otherwise(F.col("id"))).select(*names)
+
+
 @dataclass
 class IngestResult:
     postings: DataFrame  # the new snapshot
@@ -328,9 +346,12 @@ def ingest_batch(
     guard_level_tokens: bool = False,
     unicode_fold: bool = False,
 ) -> IngestResult:
-    """The whole write: identity, near duplicates, insert, merge, touch, places."""
-    if new_id is None:
-        new_id = F.sha2(F.concat_ws("|", F.col("company_id").cast("string"), F.col("dedup_key")), 256)
+    """The whole write: identity, near duplicates, insert, merge, touch, places.
+
+    `new_id` names the ids of new rows; without it they are made by `offer_id`. No new row takes the id of a stored one.
+    """
+    given = new_id is not None
+    new_id = new_id if given else offer_id(seen_at)
     prepared = resolve_near_duplicates(
         with_identity(incoming, unicode_fold), stored, threshold, guard_level_tokens, unicode_fold
     )
@@ -354,6 +375,8 @@ def ingest_batch(
             for f in stored.schema.fields
         ]
     )
+    # Read by the table and by the result; few and settled from here on.
+    rows = cut_lineage(with_free_ids(rows, stored, given))
     table = stored.unionByName(rows)
     matches = match_incoming(table, prepared)
     merged = cut_lineage(merge_changed(table, prepared, matches, seen_at))

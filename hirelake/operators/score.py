@@ -389,8 +389,18 @@ def score_band(score: Column) -> Column:
     )
 
 
-def match_reasons(p: Profile) -> Column:
-    """array<struct<kind, label, met>> in display order, by substring on title and description."""
+def match_reasons(
+    p: Profile,
+    titles: int | None = None,
+    required: int | None = None,
+    keywords: int | None = None,
+    motivations: int | None = None,
+    resume: int | None = None,
+) -> Column:
+    """array<struct<kind, label, met>> in display order, by substring on title and description.
+
+    `titles` is how many wished titles are looked at, the others how many words of a kind are named; all unless given.
+    """
     kind = "array<struct<kind:string,label:string,met:boolean>>"
     if not p.configured:
         return F.array().cast(kind)
@@ -426,23 +436,24 @@ def match_reasons(p: Profile) -> Column:
         one(city.isNull() & country.isNotNull(), reason("country", country, F.lit(True)))
     if p.remote_types:
         one(F.col("remote_type").isNotNull(), reason("remote", readable("remote_type"), F.col("remote_type").isin(p.remote_types)))
-    for wanted in p.titles[:2]:
+    for wanted in p.titles[:titles]:
         term = wanted.strip().lower()
         if term:
             one(F.lower("title").contains(term), reason("title", F.lit(wanted), F.lit(True)))
 
     haystack = F.lower(F.concat(F.col("title"), F.lit(" "), F.coalesce("description", F.lit(""))))
     for name, values, cap in (
-        ("required", p.required_keywords, 3),
-        ("keyword", p.keywords, 4),
-        ("motivation", p.motivations, 2),
-        ("resume", p.resume_keywords, 4),
+        ("required", p.required_keywords, required),
+        ("keyword", p.keywords, keywords),
+        ("motivation", p.motivations, motivations),
+        ("resume", p.resume_keywords, resume),
     ):
         if values:
             found = [
                 F.when(haystack.contains(v.strip().lower()), reason(name, F.lit(v), F.lit(True))) for v in values
             ]
-            groups.append(F.slice(F.array_compact(F.array(*found)), 1, cap))
+            named = F.array_compact(F.array(*found))
+            groups.append(named if cap is None else F.slice(named, 1, cap))
     if p.industries:
         one(F.col("industry").isNotNull(), reason("industry", readable("industry"), F.col("industry").isin(p.industries)))
     if p.min_salary:

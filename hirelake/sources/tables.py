@@ -6,7 +6,8 @@ pointer file is replaced. Readers resolve the pointer once, so they see one vers
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +41,26 @@ def write_snapshot(df: DataFrame, path: str, version: str, partition_by: list[st
     return version
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Write rows into folders by the hash of `key`; only the buckets that `df` has rows for are replaced.
+
+    `df` holds all rows of those buckets and must not read from `path` any more. A bucket is one task, so its number is
+    chosen by the size of the table: at 100 TB, tens of thousands.
+    """
+    rows = df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, key: str, touched: DataFrame, buckets: int) -> DataFrame:
+    """All rows of the buckets that hold any key of `touched`: other folders are not listed into the scan."""
+    numbers = touched.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()  # at most `buckets` numbers
+    return spark.read.parquet(path).filter(F.col("bucket").isin([r.bucket for r in numbers])).drop("bucket")
+
+
 def read_snapshot(spark: SparkSession, path: str, version: str | None = None) -> DataFrame | None:
     version = version or current_version(spark, path)
     return None if version is None else spark.read.parquet(f"{path}/v={version}")
