@@ -36,16 +36,16 @@ def linked_messages(messages: DataFrame) -> DataFrame:
 
     Lines that start with `>` marks are quoted, one level per mark. A passage is a run of lines of one level up to a blank
     line; its digest, free of case and spacing, is joined to the digests of what messages say themselves. The original is
-    the first message of the same conversation that says it, if that came before; else the one message anywhere that says
-    it, if there is just one and its conversation has a smaller id. reply_conv_id and reply_turn name the original of the
+    the first message of the same conversation that says it, if that came before; else, of all messages that say it, the
+    first by (conv_id, turn), if its conversation has a smaller id: copies of an original take no link away. reply_conv_id and reply_turn name the original of the
     shallowest linked passage (the latest of several), null where nothing is linked. thread_id is the smallest
     conversation id that such links lead to; `position` counts a conversation's messages from 1 by turn, and as originals
     come before, (thread_id, conv_id, position) is an order of replies. `text` is the message without quoted lines.
 
     Lines and passages stay inside their row; only digests are shuffled, grouped map-side, so a passage that a third of
     all messages share costs a row per task. Positions are summed from parts (`with_rank`): no task holds a conversation.
-    Null text: empty. Null conv_id: a message of no conversation: position 0, thread null, linked only to a single
-    original. Null turn: position after smaller ones counts it as 0, and it quotes nothing of its own conversation.
+    Null text: empty. Null conv_id: a message of no conversation: position 0, thread null, linked to the
+    first original that has one. Null turn: position after smaller ones counts it as 0, and it quotes nothing of its own conversation.
     Messages alike in conv_id, turn, role and text are one. Empty table: no rows. Other columns are not read.
     """
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("fp", F.xxhash64("role", "text"))
@@ -63,7 +63,7 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     source = F.struct("conv_id", "turn")
     says = rows.select("conv_id", "turn", F.explode(F.array_distinct("said")).alias("d")).select("conv_id", "turn", "d.h", "d.g")
     here = says.filter("conv_id IS NOT NULL").groupBy("conv_id", "h", "g").agg(F.min("turn").alias("first_turn"))
-    anywhere = says.groupBy("h", "g").agg(F.count("*").alias("times"), F.min(source).alias("only")).filter("times = 1")
+    anywhere = says.groupBy("h", "g").agg(F.min(F.when(F.col("conv_id").isNotNull(), source)).alias("only"))
     asks = rows.select("conv_id", "turn", "fp", F.explode("quoted").alias("q")).select("conv_id", "turn", "fp", "q.level", "q.h", "q.g")
     met = asks.join(here, ["conv_id", "h", "g"], "left").join(anywhere, ["h", "g"], "left")
     same = F.col("first_turn") < F.col("turn")

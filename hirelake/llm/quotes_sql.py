@@ -21,7 +21,8 @@ g AS (
 q AS (SELECT * FROM g WHERE passage <> ''),
 s AS (SELECT DISTINCT id, conv_id, turn, passage FROM q WHERE level = 0),
 h AS (SELECT conv_id, passage, min(turn) AS first_turn FROM s WHERE conv_id IS NOT NULL GROUP BY ALL),
-a AS (SELECT passage, min(conv_id) AS c, min(turn) AS t FROM s GROUP BY passage HAVING count(*) = 1),
+a AS (SELECT passage, conv_id AS c, turn AS t FROM s WHERE conv_id IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY passage ORDER BY conv_id, turn NULLS FIRST) = 1),
 o AS (
   SELECT q.id, q.conv_id, q.level,
          CASE WHEN h.first_turn < q.turn THEN q.conv_id WHEN a.c < q.conv_id OR (q.conv_id IS NULL AND a.c IS NOT NULL) THEN a.c END AS oc,
