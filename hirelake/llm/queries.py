@@ -88,14 +88,14 @@ r AS (
          row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.part, d.doc_id NULLS FIRST) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 n AS (SELECT *, (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS copies FROM r)
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 3) AS target, copies, copies * size::BIGINT AS taken FROM n
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 3) AS target, copies * size::BIGINT AS taken, copies FROM n
 """
 
 
 @query("op6_source_mixing", MIXING_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     sizes = mixing.mixed_sizes(table(spark, folder, "documents"))
-    return sizes.withColumn("target", F.round("target", 3))
+    return sizes.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", "copies")
 
 
 @query("op7_quality_rules")
