@@ -17,8 +17,12 @@ from hirelake.llm.words import LETTER, TextRun, mix, text_runs
 
 #: Beside whole words, their first so many bytes are terms: endings vary more than stems.
 STEMS = (5, 7)
-#: So many of the terms with the longest postings are kept as columns of a dense matrix.
-DENSE = 1024
+#: So many terms count as common in an index that skips by bounds, and in a dense one.
+COMMON, DENSE = 2048, 1024
+#: Common terms in a group that shares one norm per example, and examples in a block.
+GROUP, SPAN = 32, 64
+#: Bounds are in single precision; sums of at most 2 048 products of weights below 1 differ by less than this.
+SLACK = 1e-5
 SCORED = (
     "doc_id long, held_out boolean, score double, predicted int, "
     "evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
@@ -84,81 +88,119 @@ def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """The examples' vectors by term: the commonest terms as a dense matrix, all others as postings in blocks of examples.
-
-    Each (term, block of examples) knows its largest weight. A query first takes what the common terms give all examples;
-    the k-th best of that is a cosine that the final k-th best cannot be below. A block is then read only if the best of
-    its examples so far plus the query's weights times the largest weights of the block reaches it. So `nearest_of` is
-    exact. Equal cosines rank by example number. `block` queries are taken at a time.
+    """The examples' vectors by term, in two parts: telling terms (few postings, much weight) and common ones.
+
+    A query first reads the lists of its telling terms; the k-th best of these sums is a cosine that the final k-th best
+    cannot be below. The common terms' postings stand in blocks of examples, and of each (term, block) the largest weight is
+    known: a block that cannot reach that cosine with all its largest weights is skipped. In the other blocks an example is
+    read only if the norms of its common terms, by groups of terms, let it reach the k-th best. So `nearest_of` is exact.
+    Equal cosines rank by example number. `dense`: the common terms are few and added to all examples at once, for weights
+    that let no bound skip much. `block` queries are taken at a time.
     """
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16, examples_per_block: int = 256):
+    def __init__(
+        self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16, span: int = SPAN, dense: bool = False
+    ):
         term = np.concatenate([t for t, _ in examples] or [np.zeros(0)], dtype=np.int32, casting="unsafe")
         count = np.concatenate([n for _, n in examples] or [np.zeros(0, np.int32)])
         owner = np.repeat(np.arange(len(examples), dtype=np.int32), [len(t) for t, _ in examples])
         order = np.argsort(term, kind="stable")
-        self._build(term[order], owner[order], count[order], len(examples), idf, block, examples_per_block)
+        self._build(term[order], owner[order], count[order], len(examples), idf, block, span, dense)
 
     @classmethod
-    def of_postings(cls, term: np.ndarray, owner: np.ndarray, count: np.ndarray, size: int, idf: np.ndarray) -> BlockMaxIndex:
+    def of_postings(
+        cls, term: np.ndarray, owner: np.ndarray, count: np.ndarray, size: int, idf: np.ndarray, dense: bool = False
+    ) -> BlockMaxIndex:
         """From postings that are already in order of term and example: nothing is sorted or held twice."""
         index = cls.__new__(cls)
-        index._build(term, owner, count, size, idf, 16, 256)
+        index._build(term, owner, count, size, idf, 16, SPAN, dense)
         return index
 
-    def _build(self, term, owner, count, size: int, idf: np.ndarray, block: int, span: int) -> None:
+    def _build(self, term, owner, count, size: int, idf: np.ndarray, block: int, span: int, dense: bool) -> None:
         self.idf, self.block, self.size, self.span = idf, block, size, span
         self.blocks = -(-size // span)
+        width = self.blocks * span
         weight = (1 + np.log(count)) * idf[term]
-        norm = np.sqrt(np.bincount(owner, weight * weight, size))
-        weight /= norm[owner]
+        weight /= np.sqrt(np.bincount(owner, weight * weight, size))[owner]
         length = np.bincount(term, minlength=len(idf))
-        common = np.argsort(-length, kind="stable")[:DENSE]
+        # Long lists of light terms cost most and tell least.
+        common = np.argsort(idf / np.maximum(length, 1), kind="stable")[: DENSE if dense else COMMON]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.blocks * span))
+        self.columns = len(common)
         at = self.column[term]
-        self.dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
-        rare = at < 0
-        del at
-        term, self.owner, self.weight = term[rare], owner[rare].astype(np.int32), weight[rare]
-        del weight, rare
-        cell = term.astype(np.int64) * max(self.blocks, 1) + self.owner // span
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        self.begin = np.append(first, len(cell))
-        self.block_of = (cell[first] % max(self.blocks, 1)).astype(np.int32)
-        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        telling = at < 0
+        self.owner, self.weight = owner[telling].astype(np.int32), weight[telling]
         self.start = np.zeros(len(idf) + 1, dtype=np.int64)
-        np.cumsum(np.bincount(term[first], minlength=len(idf)), out=self.start[1:])
+        np.cumsum(np.where(self.column < 0, length, 0), out=self.start[1:])
+        at, owner, weight = at[~telling], owner[~telling], weight[~telling]
+        self.dense = None
+        if dense:
+            self.dense = np.zeros((len(common), width))
+            self.dense[at, owner] = weight
+            return
+        self.largest = np.zeros((len(common), self.blocks), dtype=np.float32)
+        np.maximum.at(self.largest, (at, owner // span), weight.astype(np.float32))
+        self.groups = np.arange(0, len(common), GROUP)
+        norms = np.bincount((at // GROUP) * width + owner, weight * weight, len(self.groups) * width)
+        self.norms = np.sqrt(norms).astype(np.float32).reshape(len(self.groups), width)
+        order = np.argsort(owner, kind="stable")
+        self.row_column, self.row_weight = at[order].astype(np.int16), weight[order]
+        self.row_start = np.zeros(size + 1, dtype=np.int64)
+        np.cumsum(np.bincount(owner, minlength=size), out=self.row_start[1:])
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
     def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-        """Queries by examples; examples of blocks that cannot be among the first k keep what they have so far."""
+        """Queries by examples; examples that cannot be among the first k keep what the telling terms give."""
         term = np.concatenate([t for t, _ in queries]).astype(np.int64)
         weight = np.concatenate([self.weights(t, n) for t, n in queries])
         query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
-        at = self.column[term]
-        head = np.zeros((len(queries), len(self.dense)))
+        at, width = self.column[term], self.blocks * self.span
+        head = np.zeros((len(queries), self.columns))
         head[query[at >= 0], at[at >= 0]] = weight[at >= 0]
-        total = head @ self.dense
         term, weight, query = term[at < 0], weight[at < 0], query[at < 0]
-        cells = self.start[term + 1] - self.start[term]
-        cell, query, weight = _ranges(self.start[term], cells), np.repeat(query, cells), np.repeat(weight, cells)
-        place = query * self.blocks + self.block_of[cell]
-        most = np.bincount(place, weight * self.largest[cell], len(queries) * self.blocks).reshape(-1, self.blocks).astype(float)
-        most += total.reshape(len(queries), self.blocks, self.span).max(axis=2)
-        least = np.partition(total[:, : self.size], -k, axis=1)[:, -k] if self.size >= k else np.zeros(len(queries))
-        read = (most >= least[:, None] - 1e-8).ravel()[place]
-        cell, query, weight = cell[read], query[read], weight[read]
-        n = self.begin[cell + 1] - self.begin[cell]
-        entry = _ranges(self.begin[cell], n)
-        where = np.repeat(query * total.shape[1], n) + self.owner[entry]
-        total += np.bincount(where, np.repeat(weight, n) * self.weight[entry], total.size).reshape(total.shape)
+        n = self.start[term + 1] - self.start[term]
+        entry = _ranges(self.start[term], n)
+        where = np.repeat(query * width, n) + self.owner.take(entry)
+        total = np.bincount(where, np.repeat(weight, n) * self.weight.take(entry), len(queries) * width)
+        total = total.reshape(-1, width).astype(float)
+        if self.dense is not None:
+            total = total + head @ self.dense
+        elif self.columns:
+            self._add_common(total, head, k)
         return total[:, : self.size]
 
+    def _add_common(self, total: np.ndarray, head: np.ndarray, k: int) -> None:
+        """What the common terms give to those examples that can still be among the first k.
+
+        The first k so far are read at once: the least of their whole sums is what all others must reach.
+        """
+        rows = len(total)
+        so_far, least, first = total.copy(), np.zeros((rows, 1)), np.zeros(total.shape, dtype=bool)
+        if self.size >= k:
+            at = np.argpartition(total[:, : self.size], self.size - k, axis=1)[:, self.size - k :]
+            np.put_along_axis(first, at, True, axis=1)
+            self._read_rows(total, head, *np.nonzero(first))
+            least = np.take_along_axis(total, at, axis=1).min(axis=1)[:, None] - SLACK
+        small = head.astype(np.float32)
+        reach = so_far.reshape(rows, self.blocks, self.span).max(axis=2) + small @ self.largest >= least
+        norms = np.sqrt(np.add.reduceat(small * small, self.groups, axis=1))
+        hopeful = (so_far + norms @ self.norms >= least) & np.repeat(reach, self.span, axis=1) & ~first
+        self._read_rows(total, head, *np.nonzero(hopeful[:, : self.size]))
+
+    def _read_rows(self, total: np.ndarray, head: np.ndarray, query: np.ndarray, example: np.ndarray) -> None:
+        """Adds the common terms' part of some (query, example) cells, about a million weights at a time."""
+        n = self.row_start[example + 1] - self.row_start[example]
+        flat, base = head.ravel(), query * self.columns
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000, prepend=-1)).tolist() + [len(n)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            entry = _ranges(self.row_start[example[a:b]], n[a:b])
+            given = flat.take(np.repeat(base[a:b], n[a:b]) + self.row_column.take(entry)) * self.row_weight.take(entry)
+            total[query[a:b], example[a:b]] += np.bincount(np.repeat(np.arange(b - a), n[a:b]), given, b - a)
+
     def nearest_of(
         self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None
     ) -> list[list[tuple[int, float]]]:
@@ -242,7 +284,7 @@ class Examples:
         owner = number[self.owner]
         term, owner, count = (x[owner >= 0] for x in (self.term, owner, self.count))
         idf = self.idf * strengths(term, owner, self.label[which], len(self.idf)) ** by_strength
-        return BlockMaxIndex.of_postings(term, owner, count, len(which), idf)
+        return BlockMaxIndex.of_postings(term, owner, count, len(which), idf, dense=not by_strength)
 
 
 def strengths(term: np.ndarray, owner: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
@@ -438,7 +480,11 @@ class Model:
 
         def build():
             e = Examples.received(self.examples)
-            return e.index(self.by_strength), e, {d: i for i, d in enumerate(e.doc_ids)}
+            index = e.index(self.by_strength)
+            # What was sent is needed no more once the index stands.
+            self.examples.__dict__.pop("_value", None)
+            e.term = e.owner = e.count = e.idf = e.share = None
+            return index, e, {d: i for i, d in enumerate(e.doc_ids)}
 
         return per_worker("toxicity", self.key, build)
 
@@ -450,7 +496,7 @@ class Model:
             owner, term, n = term_counts(t, e.vocabulary)
             cuts = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
             queries = [(term[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-            for found in index.nearest_of(queries, self.neighbours, own[a:b]):
+            for found in index.nearest_of(queries, max(self.vote.neighbours, 3), own[a:b]):
                 proof = [{"doc_id": e.doc_ids[i], "toxic": int(e.label[i]), "cosine": c} for i, c in found[:3]]
                 out.append((self.calibrated(self.vote(found, e.label)), proof))
         return out

@@ -189,19 +189,23 @@ def test_toxicity_compares_all_words_of_the_examples(spark):
     assert all(len(r.evidence) == 3 for r in toxicity.toxicity_scores(df, lab).collect())
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize(("common", "dense"), [(4096, False), (12, False), (12, True), (0, False)])
+def test_block_max_index_is_exact(monkeypatch, common, dense):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "DENSE", common)
+    monkeypatch.setattr(toxicity, "GROUP", 4)
     rng = np.random.default_rng(3)
     examples = []
     for _ in range(300):
         t = np.sort(rng.choice(40, rng.integers(0, 8), replace=False))
         examples.append((t, rng.integers(1, 4, len(t))))
     idf = rng.uniform(1, 5, 40)
-    index = toxicity.BlockMaxIndex(examples, idf, block=16)
-    dense = np.zeros((300, 40))
+    index = toxicity.BlockMaxIndex(examples, idf, block=16, span=8, dense=dense)
+    whole = np.zeros((300, 40))
     for i, (t, n) in enumerate(examples):
-        dense[i, t] = index.weights(t, n)
+        whole[i, t] = index.weights(t, n)
     for i in range(0, 300, 7):
-        cosine = np.round(dense @ dense[i], 9)
+        cosine = np.round(whole @ whole[i], 9)
         order = [j for j in np.lexsort((np.arange(300), -cosine)) if cosine[j] > 0 and j != i][:10]
         assert [j for j, _ in index.nearest(*examples[i], 10, but=i)] == order
 
