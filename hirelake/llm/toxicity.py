@@ -321,22 +321,23 @@ def cross_validated(spark: SparkSession, examples: Broadcast, neighbours: int) -
         for batch in batches:
             for form, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = fold_neighbours(own_examples, form, j, neighbours)
-                near = [[{"i": i, "c": c} for i, c in f] for f in found]
-                kind = pa.list_(pa.struct([("i", pa.int32()), ("c", pa.float64())]))
                 own = np.flatnonzero(fold_of(len(own_examples.label)) == j)
-                columns = [pa.array([form] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(near, kind)]
-                yield pa.record_batch(columns, names=["form", "example", "near"])
+                n = [len(f) for f in found]
+                columns = [pa.array(np.full(sum(n), form), pa.int32()), pa.array(np.repeat(own, n), pa.int32())]
+                columns += [pa.array([i for f in found for i, _ in f], pa.int32()), pa.array([c for f in found for _, c in f], pa.float64())]
+                yield pa.record_batch(columns, names=["form", "example", "i", "c"])
 
     todo = spark.range(10).select((F.col("id") % 2).cast("int").alias("form"), F.floor(F.col("id") / 2).cast("int").alias("fold"))
-    rows = todo.repartition(10, "form", "fold").mapInArrow(run, "form int, example int, near array<struct<i:int,c:double>>").collect()
+    # Plain columns, nearest first for each example; bounded by the number of examples.
+    rows = todo.repartition(10, "form", "fold").mapInArrow(run, "form int, example int, i int, c double").toArrow()
     labels, weights = examples.value["label"], examples.value["share"]
     fold = fold_of(len(labels))
     best, least = (0, Vote(neighbours), [None] * len(labels)), np.inf
     for form in (0, 1):
         found: list[list[tuple[int, float]]] = [[] for _ in labels]
-        for r in rows:
-            if r.form == form:
-                found[r.example] = [(x.i, x.c) for x in r.near]
+        own = rows.filter(pc.equal(rows.column("form"), form))
+        for x, i, c in zip(*(own.column(name).to_pylist() for name in ("example", "i", "c")), strict=True):
+            found[x].append((i, c))
         for k in [neighbours, *(n for n in (7, 3) if n < neighbours)]:
             for power, doubt in ((1.0, 1.0), (1.0, 0.1), (1.0, 0.01), (3.0, 0.1), (3.0, 0.01)):
                 vote = Vote(k, power, doubt)
