@@ -165,12 +165,13 @@ def completeness(d: Domain) -> DataFrame:
     return d.preferences.select("user_id", dg.completeness().alias("completeness"))
 
 
-# Pairs of a wish list and a posting created after its mark, as SQL reads them: nested loops over a few days of postings.
+# Pairs of a wish list and a posting, as SQL reads them, in nested loops: all of them, or those created after the user's mark.
 _TOK = "list_filter(list_transform(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}+#.]+'), lambda w: trim(w, '.+#')), lambda w: w <> '')"
-DOCS = f"""SELECT p.*, c.name AS company_name, c.industry, coalesce(l.cities, []) AS p_cities, coalesce(l.countries, []) AS p_countries, coalesce(l.known, false) AS place_known,
+EVERY_DOC = f"""SELECT p.*, c.name AS company_name, c.industry, coalesce(l.cities, []) AS p_cities, coalesce(l.countries, []) AS p_countries, coalesce(l.known, false) AS place_known,
   {_TOK.format('title')} AS ta, {_TOK.format("concat_ws(' ', location, department)")} AS tb, {_TOK.format("coalesce(description, '')")} AS tc
   FROM posting p JOIN company c ON c.id = p.company_id LEFT JOIN (SELECT posting_id, list(lower(city)) FILTER (WHERE city <> '') AS cities, list(upper(country)) FILTER (WHERE country <> '') AS countries,
-    bool_or(city <> '' OR country <> '') AS known FROM place GROUP BY 1) l ON l.posting_id = p.id WHERE p.closed_at IS NULL AND p.created_at > {NOW} - INTERVAL 40 DAY"""
+    bool_or(city <> '' OR country <> '') AS known FROM place GROUP BY 1) l ON l.posting_id = p.id"""
+DOCS = f"{EVERY_DOC} WHERE p.closed_at IS NULL AND p.created_at > {NOW} - INTERVAL 40 DAY"
 
 
 def _in(zone: str, terms: str) -> str:
@@ -186,13 +187,14 @@ _PLACED = "len(cities) + len(countries) > 0 AND w_location > 0"
 _COMPARABLE = "(wish_currency IS NULL OR salary_currency IS NULL OR salary_currency = wish_currency)"
 _ENOUGH = "(coalesce(salary_max >= min_salary, false) OR coalesce(salary_min >= min_salary, false))"
 _ALL_WORDS = "len(list_filter(required_keywords, lambda t: list_contains(ta, t) OR list_contains(tb, t) OR list_contains(tc, t))) = len(required_keywords)"
-PAIRS = f"""SELECT pr.*, u.email, d.*, w.company_id IS NOT NULL AS followed FROM preference pr JOIN users u ON u.user_id = pr.user_id JOIN docs d ON d.created_at > coalesce(pr.last_notified_at, {NOW} - INTERVAL 3 DAY)
+EVERY_PAIR = f"""SELECT pr.*, u.email, d.*, w.company_id IS NOT NULL AS followed FROM preference pr LEFT JOIN users u ON u.user_id = pr.user_id CROSS JOIN docs d
   LEFT JOIN (SELECT DISTINCT user_id, company_id FROM watch) w ON w.user_id = pr.user_id AND w.company_id = d.company_id
-  WHERE notify_matches AND u.email IS NOT NULL AND ({_SIGNALS}) > 0
+  WHERE ({_SIGNALS}) > 0
   AND {_NONE_OR('domains', 'domain')} AND {_NONE_OR('seniorities', 'seniority')} AND {_NONE_OR('employment_types', 'employment_type')} AND {_NONE_OR('remote_types', 'remote_type')} AND {_NONE_OR('industries', 'industry')}
   AND (NOT ({_PLACED}) OR open_to_relocation OR {_CITY} OR {_COUNTRY} OR {_REMOTE} OR NOT place_known) AND {_ALL_WORDS}
   AND (min_salary IS NULL OR coalesce(salary_max, salary_min) IS NULL OR NOT {_COMPARABLE} OR {_ENOUGH})
   AND {_in('ta', 'excluded_keywords')} + {_in('tb', 'excluded_keywords')} + {_in('tc', 'excluded_keywords')} = 0 AND NOT list_contains(excluded_company_ids, d.company_id)"""
+PAIRS = f"{EVERY_PAIR} AND notify_matches AND u.email IS NOT NULL AND d.created_at > coalesce(pr.last_notified_at, {NOW} - INTERVAL 3 DAY)"
 
 
 def _one_of(wish: str, column: str, n: str) -> tuple[str, str]:
@@ -235,21 +237,29 @@ def recent(d: Domain) -> DataFrame:
     return d.postings.filter(F.col("closed_at").isNull() & (F.col("created_at") > at(POSTINGS_AT) - F.make_dt_interval(F.lit(40))))
 
 
-@query("score_all", f"WITH docs AS ({DOCS}), pairs AS ({PAIRS}) SELECT user_id, id, match_score FROM ({SCORED})")
-def score_all(d: Domain) -> DataFrame:
+@query("score_all_since_mark", f"WITH docs AS ({DOCS}), pairs AS ({PAIRS}) SELECT user_id, id, match_score FROM ({SCORED})")
+def score_all_since_mark(d: Domain) -> DataFrame:
+    """What the digest scores: open recent postings that are newer than the user's mark."""
     prefs = d.preferences.filter("notify_matches").join(d.users.filter("email IS NOT NULL").select("user_id"), "user_id", "left_semi")
     pairs = dg.score_all(recent(d), d.companies, d.places, prefs, d.watches, at(POSTINGS_AT), pairs_per_task=20_000)
     since = F.coalesce("last_notified_at", at(POSTINGS_AT) - F.make_dt_interval(F.lit(3)))
     return pairs.filter(F.col("created_at") > since).select("user_id", "id", "match_score")
 
 
+@query("score_all")
 @query("score_all_postings")
-def score_all_postings(d: Domain) -> DataFrame:
-    """Every configured user against every posting, closed and old ones too; nested loops in SQL would be too slow."""
+def score_all(d: Domain) -> DataFrame:
+    """Every configured user against every posting, closed and old ones too.
+
+    Nested loops in SQL are too slow for large tables; a test holds `EVERY_SCORE` against it on all rows of the smallest.
+    """
     pairs = dg.score_all(d.postings, d.companies, d.places, d.preferences, d.watches, at(POSTINGS_AT), pairs_per_task=20_000)
     return pairs.select("user_id", "id", "match_score")
 
 
+EVERY_SCORE = f"WITH docs AS ({EVERY_DOC}), pairs AS ({EVERY_PAIR}) SELECT user_id, id, match_score FROM ({SCORED})"
+
+
 DIGEST = f"""WITH docs AS ({DOCS}), pairs AS ({PAIRS}) SELECT user_id, email, id, title, company_name, match_score,
   row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, created_at DESC, id) AS place FROM ({SCORED}) s WHERE match_score >= 70
   AND NOT EXISTS (SELECT 1 FROM interaction i WHERE i.user_id = s.user_id AND i.posting_id = s.id) QUALIFY place <= 10"""
