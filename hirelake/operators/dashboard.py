@@ -120,6 +120,12 @@ def streak(applications: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def with_company_name(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """`company_name` beside each listed application, null where the company is unknown; lists are short by now."""
+    names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    return rows.join(names, "company_id", "left")
+
+
 def stale_list(applications: DataFrame, as_of: Column, n: int = LIST_SIZE) -> DataFrame:
     """Per user the applications that waited longest, oldest first."""
     rows = applications.filter(stale(as_of))

@@ -90,10 +90,11 @@ _SINCE = f"CAST(greatest(0, date_diff('day', coalesce(applied_at, created_at), {
 
 @query(
     "stale_list",
-    f"SELECT user_id, id, applied_at, {_SINCE} FROM {LIVE} WHERE {_STALE} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY applied_at, id) <= 5",
+    f"SELECT r.*, c.name AS company_name FROM (SELECT user_id, id, applied_at, company_id, {_SINCE} FROM {LIVE} WHERE {_STALE} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY applied_at, id) <= 5) r LEFT JOIN company c ON c.id = r.company_id",
 )
 def stale_list(d: Domain) -> DataFrame:
-    return b.stale_list(live(d), as_of()).select("user_id", "id", "applied_at", "days_since")
+    rows = b.with_company_name(b.stale_list(live(d), as_of()), d.companies)
+    return rows.select("user_id", "id", "applied_at", "company_id", "days_since", "company_name")
 
 
 _TIER = "CASE tier WHEN 'S_TIER' THEN 1 WHEN 'A_TIER' THEN 2 WHEN 'B_TIER' THEN 3 ELSE 4 END"
@@ -101,10 +102,11 @@ _TIER = "CASE tier WHEN 'S_TIER' THEN 1 WHEN 'A_TIER' THEN 2 WHEN 'B_TIER' THEN
 
 @query(
     "list_by_status",
-    f"SELECT user_id, id, tier, {_SINCE} FROM {LIVE} WHERE status = 'WISHLIST' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_TIER}, created_at, id) <= 5",
+    f"SELECT r.*, c.name AS company_name FROM (SELECT user_id, id, tier, company_id, {_SINCE} FROM {LIVE} WHERE status = 'WISHLIST' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_TIER}, created_at, id) <= 5) r LEFT JOIN company c ON c.id = r.company_id",
 )
 def list_by_status(d: Domain) -> DataFrame:
-    return b.list_by_status(live(d), "WISHLIST", as_of()).select("user_id", "id", "tier", "days_since")
+    rows = b.with_company_name(b.list_by_status(live(d), "WISHLIST", as_of()), d.companies)
+    return rows.select("user_id", "id", "tier", "company_id", "days_since", "company_name")
 
 
 @query("days_since", f"SELECT id, {_SINCE} FROM application")
