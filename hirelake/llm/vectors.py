@@ -7,12 +7,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import materialise
 from hirelake.llm.graph import Forest, components
 
-CODED = "node long, copies long, vec array<double>, list int, probes array<int>, code binary"
+CODED = "node long, copies long, d int, vec array<double>, list int, probes array<int>, code binary, lost double"
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -34,11 +35,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Coarse centres and one codebook per subspace of the residuals; `margin` covers what the codes lose."""
+    """Coarse centres and one codebook per subspace of the residuals; `reach` is how far beyond its own list's border a
+    vector looks for neighbours."""
 
     centres: np.ndarray
     books: np.ndarray  # subspace, codeword, coordinate
-    margin: float
+    reach: float
 
     @property
     def width(self) -> int:
@@ -62,6 +64,17 @@ class Quantiser:
         """Of each subspace and row, the products with all codewords."""
         return np.matmul(self.parts(x).transpose(1, 0, 2), self.books.transpose(0, 2, 1))
 
+    def probed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's own list, and which lists it probes: those whose border with the own list is within reach."""
+        half = (self.centres * self.centres).sum(axis=1) / 2
+        near = x @ self.centres.T - half
+        own = np.argmax(near, axis=1)
+        # The border between two lists lies (near_own - near) / |centre - own centre| away from the row.
+        apart = np.sqrt(np.maximum(2 * (half + half[own, None] - self.centres[own] @ self.centres.T), 0))
+        within = near.max(axis=1, keepdims=True) - near <= self.reach * apart
+        within[np.arange(len(x)), own] = True
+        return own, within
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first, so that no square leaves the range of doubles."""
@@ -69,71 +82,91 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit(sample: np.ndarray, lists: int, subspaces: int, cosine: float) -> Quantiser:
-    """From a bounded sample of unit vectors. The margin is the largest error of a table lookup over the sample, with a
-    fifth on top; where the sample has no near pair it is the largest residual left by the codes."""
+def fit(sample: np.ndarray, lists: int, subspaces: int, cosine: float, deviations: float | None) -> Quantiser:
+    """From a bounded sample of unit vectors.
+
+    A partner at the threshold is at most r = sqrt(2 - 2 cosine) away, so a list whose border is farther off holds none: with
+    `deviations` None that is the reach and probing loses nothing. Otherwise the reach is that many standard deviations of a
+    step of length r along the direction in which residuals vary most, never more than r. Neither depends on the number of
+    lists."""
     centres = kmeans(sample, lists, 8, 1)
     width = -(-sample.shape[1] // subspaces)
-    q = Quantiser(centres, np.zeros((subspaces, 1, width)), 0.0)
-    where = nearest(sample, centres)
-    rest = q.parts(sample - centres[where])
-    books = [kmeans(np.ascontiguousarray(rest[:, m]), 256, 6, 2 + m) for m in range(subspaces)]
-    q.books = np.stack(books)
-    lost = np.sqrt(((sample - q.decode(q.encode(sample, where), where)) ** 2).sum(axis=1))
-    # |x . y - x . y'| <= |y - y'| for a unit x: the largest loss seen bounds the error of any lookup.
-    q.margin = float(lost.max()) * 1.2 if len(lost) else 1.0
+    q = Quantiser(centres, np.zeros((subspaces, 1, width)), max(2 - 2 * cosine, 0) ** 0.5)
+    rest = sample - centres[nearest(sample, centres)]
+    spread = np.linalg.eigvalsh(rest.T @ rest)
+    if deviations is not None and spread.sum() > 0:
+        q.reach *= min(1.0, deviations * float(spread[-1] / spread.sum()) ** 0.5)
+    rest = q.parts(rest)
+    q.books = np.stack([kmeans(np.ascontiguousarray(rest[:, m]), 256, 6, 2 + m) for m in range(subspaces)])
     return q
 
 
-def coded(nodes: DataFrame, q: Quantiser, probes: int) -> DataFrame:
-    """CODED: each vector's own list, the lists it probes (its own first) and its residual code."""
+def single_list(d: int) -> Quantiser:
+    """For lengths too rare to be fitted: one list, codes that say nothing, so every pair is compared exactly."""
+    return Quantiser(np.zeros((1, d)), np.zeros((1, 1, d)), 0.0)
+
+
+def coded(nodes: DataFrame, fitted: dict[int, Quantiser], step: int = 1024) -> DataFrame:
+    """CODED: each vector's own list, the lists it probes, its residual code and how far the code is off."""
+    names = [c.split()[0] for c in CODED.split(", ")]
+
+    def part(batch: pa.RecordBatch, d: int) -> pa.RecordBatch:
+        q = fitted.get(d) or single_list(d)
+        x = unit(batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), d))
+        own, within = q.probed(x)
+        code = q.encode(x, own)
+        lost = np.sqrt(((x - q.decode(code, own)) ** 2).sum(axis=1))
+        ends = np.concatenate([[0], within.sum(axis=1).cumsum()])
+        arrays = [
+            batch.column("node"), batch.column("copies"), batch.column("d"),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, d), pa.int32()), pa.array(x.ravel())),
+            pa.array(own, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(within)[1], pa.int32())),
+            pa.array([c.tobytes() for c in code], pa.binary()), pa.array(lost),
+        ]
+        return pa.record_batch(arrays, names=names)
 
     def run(batches):
         for batch in batches:
-            vec = batch.column(2)
-            x = unit(vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1))
-            near = x @ q.centres.T - (q.centres * q.centres).sum(axis=1) / 2
-            k = min(probes, near.shape[1])
-            top = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
-            code = q.encode(x, top[:, 0])
-            arrays = [
-                batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())),
-                pa.array(top[:, 0]), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, k), pa.int32()), pa.array(top.ravel())),
-                pa.array([c.tobytes() for c in code], pa.binary()),
-            ]
-            yield pa.record_batch(arrays, names=[c.split()[0] for c in CODED.split(", ")])
-
-    return nodes.select("node", "copies", "vec").mapInArrow(run, CODED)
+            lengths = batch.column("d").to_numpy()
+            for d in np.unique(lengths).tolist():
+                some = batch.filter(pa.array(lengths == d))
+                for s in range(0, len(some), step):
+                    yield part(some.slice(s, step), d)
+
+    return nodes.select("node", "copies", "d", "vec").mapInArrow(run, CODED)
 
 
 def _rows(t: pa.Table) -> dict:
     t = t.combine_chunks()
-    vec, probes = t["vec"].combine_chunks(), t["probes"].combine_chunks()
     n = t.num_rows
     return {
         "node": t["node"].to_numpy(),
         "copies": t["copies"].to_numpy(),
-        "x": vec.flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
+        "x": t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
         "list": t["list"].to_numpy(),
-        "probes": probes.flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
+        "probes": t["probes"].combine_chunks(),
         "code": np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(n, -1),
+        "lost": t["lost"].to_numpy(),
     }
 
 
 def cell_links(table: pa.Table, q: Quantiser, cosine: float, step: int = 256) -> pa.Table:
     """(node, links, other): one cell's queries against its entries, all of one list.
 
-    Lookups by table pick candidates, exact cosines decide. A query counts each entry that it links with; an entry counts
-    the query as well if its own search would miss it, that is, if it does not probe the query's list or its lookup falls
-    short: so every pair found from either side counts once on both.
+    Lookups by table pick candidates, exact cosines decide. |x . y - x . y'| <= |y - y'| for a unit x, so an entry whose
+    lookup falls short by more than its own code is off has no link. A query counts each entry that it links with; an entry
+    counts the query as well if its own search misses it, that is, if it does not probe the query's list: so every pair
+    found from either side counts once on both.
     """
     is_query = table["query"].to_numpy()
     a, b = _rows(table.filter(pa.array(is_query))), _rows(table.filter(pa.array(~is_query)))
     ids, number = np.unique(np.concatenate([a["node"], b["node"]]), return_inverse=True)
     in_a, in_b = number[: len(a["node"])], number[len(a["node"]) :]
     links, forest, joined = np.zeros(len(ids), dtype=np.int64), Forest(len(ids)), []
-    least = cosine - q.margin
+    least = cosine - b["lost"] - 1e-9
     b_center = q.centres[b["list"][0]] if len(b["list"]) else None
+    lists = len(q.centres)
+    probing = b["probes"].value_parent_indices().to_numpy().astype(np.int64) * lists + b["probes"].flatten().to_numpy()
     for s in range(0, len(a["node"]) if len(b["node"]) else 0, step):
         x = a["x"][s : s + step]
         tables = q.tables(x)
@@ -147,12 +180,8 @@ def cell_links(table: pa.Table, q: Quantiser, cosine: float, step: int = 256) ->
             hit = (exact >= cosine) & (in_a[s + u] != in_b[v])
             u, v = u[hit] + s, v[hit]
             np.add.at(links, in_a[u], b["copies"][v])
-            back = (b["probes"][v] == a["list"][u][:, None]).any(axis=1)
-            seen = np.flatnonzero(back)
-            if len(seen):
-                own = q.decode(a["code"][u[seen]], a["list"][u[seen]])
-                back[seen] = np.einsum("nd,nd->n", b["x"][v[seen]], own) >= least
-            np.add.at(links, in_b[v[~back]], a["copies"][u[~back]])
+            missed = ~np.isin(v * lists + a["list"][u], probing)
+            np.add.at(links, in_b[v[missed]], a["copies"][u[missed]])
             for k, l in np.unique(np.stack([in_a[u], in_b[v]], axis=1), axis=0).tolist():
                 if forest.join(k, l):
                     joined.append((ids[k], ids[l]))
@@ -165,49 +194,41 @@ def cell_links(table: pa.Table, q: Quantiser, cosine: float, step: int = 256) ->
 def near_duplicate_vectors(
     vectors: DataFrame,
     cosine: float = 0.9,
-    probes: int = 12,
+    deviations: float | None = 5.0,
     subspaces: int = 16,
     sample: int = 20_000,
     most_lists: int = 4096,
+    most_lengths: int = 8,
     block: int = 2048,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding).
 
-    1. Equal vectors become one node with a number of copies. Coarse centres (about the square root of the number of nodes,
-       at most `most_lists`) and residual codebooks are fitted on at most `sample` nodes chosen by hash: a documented bound
-       for what the driver holds; every vector is indexed.
-    2. Each vector lies in the list of its nearest centre, as a residual code, and queries the lists of its `probes`
-       nearest. Lists above `block` vectors are cut into blocks, their queries as well, and all blocks meet: no list is
-       one task, and no vector is left out.
-    3. A cell adds up table lookups, takes all entries within the fitted margin of the threshold and computes their exact
-       cosine in double precision. It returns counts and connecting links, never pairs.
+    1. Equal vectors become one node with a number of copies. Vectors of different lengths never meet. For each of the
+       `most_lengths` commonest lengths, coarse centres (about the square root of its number of nodes, at most `most_lists`
+       and a quarter of its sample) and residual codebooks are fitted on a share of `sample` nodes chosen by hash: a
+       documented bound for what the driver holds; every vector is indexed. Other lengths form one list each.
+    2. Each vector lies in the list of its nearest centre, as a residual code, and queries all lists within reach (see
+       `fit`). Lists above `block` vectors are cut into blocks, their queries as well, and all blocks meet: no list is one
+       task, and no vector is left out.
+    3. A cell adds up table lookups, takes all entries that their own coding error leaves within the threshold and computes
+       their exact cosine in double precision. It returns counts and connecting links, never pairs.
     4. component_id is the smallest vec_id that links lead to; kept is true where it is the vector's own.
 
-    A link needs an exact cosine of `cosine` or more, so none is wrong; recall is what probing reaches (measured in the
-    README). Null, empty and zero vectors, those with null or non-finite components and those of another length than most
-    link with nothing: 0 links, their own component, kept. Copies: linked with each other. Repeated rows: copies; null
-    vec_id: takes part, is nobody's component. Empty table: no rows. Other columns are not read.
+    A link needs an exact cosine of `cosine` or more, so none is wrong; codes lose none; recall is what probing reaches
+    (measured in the README; all with `deviations` None). Null, empty and zero vectors and those with null or non-finite
+    components link with nothing: 0 links, their own component, kept. Copies: linked with each other. Repeated rows: copies;
+    null vec_id: takes part, is nobody's component. Empty table: no rows. Other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     fine = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0), F.lit(False))
-    lengths = rows.filter(fine).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    most = lengths.orderBy(F.col("n").desc(), "d").first()
-    usual = most.d if most else 0
-    rows = rows.withColumn("node", F.when(fine & (F.size("v") == usual), F.xxhash64("v")))
+    rows = rows.withColumn("node", F.when(fine, F.xxhash64("v")))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.any_value("v").alias("vec")
     )
-    nodes = materialise(nodes, "vectors")
-    n = nodes.count()
-    if n:
-        picked = nodes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
-        x = unit(np.array([r.vec for r in picked]))
-        lists = int(min(most_lists, max(1, round(n**0.5)), max(1, len(x) // 8)))
-        q = fit(x, lists, min(subspaces, usual), cosine)
-        found = _search(nodes, q, cosine, probes, block)
-    else:
-        found = nodes.select("node", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("other"))
+    nodes = materialise(nodes.withColumn("d", F.size("vec")), "vectors")
+    fitted = _fitted(nodes, cosine, deviations, subspaces, sample, most_lists, most_lengths)
+    found = _search(nodes, fitted, cosine, block)
     found = materialise(found, "vector-links")
     joined = found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
     links = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
@@ -226,20 +247,48 @@ def near_duplicate_vectors(
     )
 
 
-def _search(nodes: DataFrame, q: Quantiser, cosine: float, probes: int, block: int) -> DataFrame:
-    spark = nodes.sparkSession
-    entries = materialise(coded(nodes, q, probes), "codes")
-    asked = entries.withColumn("at", F.explode("probes"))
-    # One row per list, at most `most_lists` of them.
-    held = entries.groupBy(F.col("list").alias("at")).agg(F.ceil(F.count("*") / block).cast("int").alias("eb"))
-    wanted = asked.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias("qb"))
-    blocks = materialise(held.join(wanted, "at"), "lists")
+def _fitted(
+    nodes: DataFrame, cosine: float, deviations: float | None, subspaces: int, sample: int, most_lists: int, most_lengths: int
+) -> dict[int, Quantiser]:
+    """The quantiser of each of the commonest lengths, from its share of the sample."""
+    common = nodes.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(most_lengths).collect()
+    share = sample // max(1, len(common))
+    # Twice the share by hash, so that the exact choice below meets a bounded number of rows.
+    drawn = F.lit(False)
+    for r in common:
+        part = int(min(1.0, 2 * share / r.n) * 1_000_000)
+        drawn = drawn | ((F.col("d") == r.d) & (F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_000)) < part))
+    place = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("node"), "node"))
+    picked = nodes.filter(drawn).withColumn("place", place).filter(F.col("place") <= share).select("d", "place", "vec").collect()
+    found = {}
+    for r in common:
+        x = unit(np.array([p.vec for p in sorted((p for p in picked if p.d == r.d), key=lambda p: p.place)]).reshape(-1, r.d))
+        lists = int(min(most_lists, max(1, round(r.n**0.5)), max(1, len(x) // 4)))
+        if len(x):
+            found[r.d] = fit(x, lists, min(subspaces, r.d), cosine, deviations)
+    return found
+
+
+def _search(nodes: DataFrame, fitted: dict[int, Quantiser], cosine: float, block: int) -> DataFrame:
+    entries = materialise(coded(nodes, fitted), "codes")
+    cell = ["d", "at"]
+    asked = entries.withColumn("at", F.explode("probes")).withColumn("probes", F.array().cast("array<int>"))
+    # One row per list: at most `most_lists` of each fitted length, and one of each other length.
+    held = entries.groupBy("d", F.col("list").alias("at")).agg(F.ceil(F.count("*") / block).cast("int").alias("eb"))
+    wanted = asked.groupBy(cell).agg(F.ceil(F.count("*") / block).cast("int").alias("qb"))
+    blocks = materialise(held.join(wanted, cell), "lists")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    entered = entries.withColumn("at", F.col("list"))
     sides = [
-        asked.join(F.broadcast(blocks), "at").withColumn("i", own("qb")).withColumn("j", every("eb")).withColumn("query", F.lit(True)),
-        entries.withColumn("at", F.col("list")).join(F.broadcast(blocks), "at").withColumn("j", own("eb")).withColumn("i", every("qb")).withColumn("query", F.lit(False)),
+        asked.join(blocks, cell).withColumn("i", own("qb")).withColumn("j", every("eb")).withColumn("query", F.lit(True)),
+        entered.join(blocks, cell).withColumn("j", own("eb")).withColumn("i", every("qb")).withColumn("query", F.lit(False)),
     ]
     columns = [*[c.split()[0] for c in CODED.split(", ")], "at", "i", "j", "query"]
     cells = sides[0].select(columns).unionByName(sides[1].select(columns))
-    return cells.groupBy("at", "i", "j").applyInArrow(lambda t: cell_links(t, q, cosine), "node long, links long, other long")
+
+    def links(t: pa.Table) -> pa.Table:
+        d = t["d"][0].as_py()
+        return cell_links(t, fitted.get(d) or single_list(d), cosine)
+
+    return cells.groupBy("d", "at", "i", "j").applyInArrow(links, "node long, links long, other long")
