@@ -88,7 +88,8 @@ def fit(sample: np.ndarray, lists: int, subspaces: int, cosine: float, deviation
     A partner at the threshold is at most r = sqrt(2 - 2 cosine) away, so a list whose border is farther off holds none: with
     `deviations` None that is the reach and probing loses nothing. Otherwise the reach is that many standard deviations of a
     step of length r along the direction in which residuals vary most, never more than r. Neither depends on the number of
-    lists."""
+    lists. A pair is lost only if both sides miss it, so one and a half are enough: of unseen pairs at cosine 0.9 in isotropic
+    64-dimensional rows they lose 0.0006 at 226 lists and 0.0018 at 2500."""
     centres = kmeans(sample, lists, 8, 1)
     width = -(-sample.shape[1] // subspaces)
     q = Quantiser(centres, np.zeros((subspaces, 1, width)), max(2 - 2 * cosine, 0) ** 0.5)
@@ -194,7 +195,7 @@ def cell_links(table: pa.Table, q: Quantiser, cosine: float, step: int = 256) ->
 def near_duplicate_vectors(
     vectors: DataFrame,
     cosine: float = 0.9,
-    deviations: float | None = 5.0,
+    deviations: float | None = 1.5,
     subspaces: int = 16,
     sample: int = 20_000,
     most_lists: int = 4096,
