@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.roles import days_between
+from hirelake.operators.board import BoardQuery, Viewer, board, listed_at
 from hirelake.operators.rows import top_per_key
+from hirelake.operators.score import STRONG_FIT_SCORE
+from hirelake.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------
 ACTIVITY_DAYS = 30
@@ -145,10 +148,90 @@ def overview(applications: DataFrame, as_of: Column) -> DataFrame:
     return funnel_stats(applications, as_of).join(streak(applications, as_of), "user_id")
 
 
-def offer_counts(scored: DataFrame) -> DataFrame:
-    """(user_id, strong_matches, saved_undecided) from scored (user, posting) rows with interaction."""
-    untracked = F.col("application_id").isNull() & F.col("closed_at").isNull()
-    return scored.groupBy("user_id").agg(
-        F.count_if(untracked & (F.col("match_score") >= 70) & F.col("status").isin("NEW", "SEEN")).alias("strong_matches"),
-        F.count_if(untracked & F.coalesce("saved", F.lit(False))).alias("saved_undecided"),
+def offer_highlights(frame: DataFrame, viewer: Viewer, as_of: Column, n: int = LIST_SIZE) -> DataFrame:
+    """(kind, total, offers): the viewer's strong untouched matches, best first, and saved offers without an application,
+    newest first; `frame` is their `board_frame`.
+
+    Both kinds come from one pass over the board: the rows that are of either kind are written once, without their texts,
+    then counted and cut to `n` of each kind. A kind without rows is not returned; without a profile nothing is a match.
+    """
+    rows = board(frame, BoardQuery(tracked=False), viewer, as_of)
+    strong = F.coalesce((F.col("match_score") >= STRONG_FIT_SCORE) & F.col("status").isin("NEW", "SEEN"), F.lit(False))
+    kinds = F.array_compact(
+        F.array(F.when(strong, F.lit("match")), F.when(F.coalesce("saved", F.lit(False)), F.lit("saved")))
+    )
+    shown = ["id", "title", "company_id", "company_name", "url", "status", "match_score"]
+    slim = cut_lineage(rows.filter(F.size(kinds) > 0).select(F.explode(kinds).alias("kind"), *shown, listed_at().alias("listed_at")))
+    best = F.when(F.col("kind") == "match", F.col("match_score")).desc_nulls_last()
+    place = F.struct(
+        F.when(F.col("kind") == "match", -F.col("match_score")).alias("score"),
+        (-F.unix_micros(F.col("listed_at").cast("timestamp"))).alias("age"), F.col("id").alias("id"),
+    )
+    first = top_per_key(slim, ["kind"], [best, F.col("listed_at").desc(), F.col("id")], n)
+    offers = first.groupBy("kind").agg(_in_order(place, [*shown, "listed_at"]).alias("offers"))
+    return slim.groupBy("kind").agg(F.count("*").alias("total")).join(offers, "kind")
+
+
+def _in_order(place: Column, names: list[str]) -> Column:
+    """Aggregate: the few rows of a list as an array of structs ordered by `place`."""
+    return F.transform(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), F.struct(*names).alias("row")))), lambda e: e["row"]
+    )
+
+
+def viewer_overview(
+    applications: DataFrame, companies: DataFrame, frame: DataFrame, viewer: Viewer, as_of: Column, n: int = LIST_SIZE
+) -> DataFrame:
+    """The home page of one viewer as one row: sixteen numbers, activity of thirty days and four lists of at most `n`.
+
+    A viewer without applications has zeros, a null response rate and empty lists. Companies that are unknown have a null
+    name; a missing `url` column counts as null.
+    """
+    me = F.lit(viewer.user_id)
+    mine = applications.filter(F.col("user_id") == me)
+    if "url" not in mine.columns:
+        mine = mine.withColumn("url", F.lit(None).cast("string"))
+    shown = ["id", "position", "company_name", "company_id", "url", "status", "tier", "applied_at", "created_at", "days_since"]
+
+    def listed(rows: DataFrame, place: Column, name: str) -> DataFrame:
+        return with_company_name(rows, companies).groupBy().agg(_in_order(place, shown).alias(name))
+
+    wishes = listed(
+        list_by_status(mine, "WISHLIST", as_of, n), F.struct(tier_rank(), F.col("created_at"), F.col("id")), "wishlist_applications"
+    )
+    waiting = listed(stale_list(mine, as_of, n), F.struct("applied_at", "id"), "stale_applications")
+    days = sent_per_day(mine, as_of).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("date", "sent"))).alias("days"))
+    offers = offer_highlights(frame, viewer, as_of, n).groupBy().agg(
+        *[
+            F.max(F.when(F.col("kind") == kind, F.col(column))).alias(name)
+            for kind, column, name in (("match", "total", "strong_matches"), ("saved", "total", "saved_undecided"))
+        ],
+        *[
+            F.any_value(F.when(F.col("kind") == kind, F.col("offers")), True).alias(name)
+            for kind, name in (("match", "top_matches"), ("saved", "saved_offers"))
+        ],
+    )
+    numbers = overview(mine, as_of).drop("user_id")
+    one = frame.sparkSession.range(1).select(me.alias("user_id"))
+    # Every side is one row, so these joins carry five rows in all.
+    for side in (numbers, wishes, waiting, days, offers):
+        one = one.join(side, F.lit(True), "left")
+    calendar = F.sequence(F.to_date(as_of) - (ACTIVITY_DAYS - 1), F.to_date(as_of))
+
+    def day(d: Column) -> Column:
+        date = F.date_format(d, "yyyy-MM-dd")
+        sent = F.coalesce(F.try_element_at("days", date), F.lit(0))
+        return F.struct(date.alias("date"), sent.cast("long").alias("sent"))
+
+    counts = [c for c in numbers.columns if c not in ("response_rate", "answered", "ever_sent")]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    lists = ["wishlist_applications", "stale_applications"]
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(one.schema[c].dataType)).alias(c)
+    return one.select(
+        "user_id", *map(zero, counts), F.col("response_rate").cast("long").alias("response_rate"),
+        zero("strong_matches"), zero("saved_undecided"),
+        F.lit(viewer.profile.configured).alias("has_profile"),
+        F.lit(viewer.profile.completeness).cast("long").alias("profile_completeness"),
+        F.transform(calendar, day).alias("activity"),
+        *map(none, ["top_matches", "saved_offers", *lists]),
     )

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from hirelake.plans import q_board, q_crawl, q_cycle, q_dashboard, q_events, q_listings, q_merge, q_normalise, q_profiles  # noqa: F401
+    from hirelake.plans import q_board, q_crawl, q_cycle, q_dashboard, q_events, q_listings, q_merge, q_normalise, q_overview, q_profiles  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
