@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -221,6 +222,23 @@ def test_quality_counts_and_verdicts(docs, nothing, spark):
     assert quality.quality_verdicts(nothing, labels).count() == 0
 
 
+def test_quality_threshold_reads_every_label(spark):
+    """The same cut as one sorted walk over all rows, equal scores and both ends included; no number of labels is too many."""
+    assert "sample" not in inspect.signature(quality.quality_verdicts).parameters
+    rng = random.Random(9)
+    for n, gap in ((400, 0.0), (400, 0.6), (3, 0.5)):
+        rows = [(round(rng.random() + gap * q, 2), q) for q in (rng.randrange(2) for _ in range(n))] + [(0.5, 0), (0.5, 1)]
+        cuts = sorted({x for x, _ in rows})
+        good, bad = [x for x, q in rows if q], [x for x, q in rows if not q]
+        best, want = 1.0, float("-inf")
+        for i, c in enumerate(cuts):
+            rate = sum(x > c for x in good) / len(good) + sum(x <= c for x in bad) / len(bad)
+            if rate > best:
+                best, want = rate, (c + cuts[i + 1]) / 2 if i + 1 < len(cuts) else float("inf")
+        assert quality.best_threshold(spark.createDataFrame(rows, "llr double, quality int")) == want
+    assert quality.best_threshold(spark.createDataFrame([(0.1, 1)], "llr double, quality int")) == float("-inf")
+
+
 def test_quality_parts_signs_from_prose(spark):
     rows = [(i, prose(80) if i % 2 else " ".join(f"{w}%%%" for w in prose(80).split())) for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)], "doc_id long, quality int")
