@@ -78,7 +78,7 @@ def sent_snapshot(events: DataFrame, interactions: DataFrame, versions: DataFram
     """The first APPLICATION_SENT of each application with the posting as it read then.
 
     `versions` holds posting rows with `version_at`; the latest at or before the event counts. The
-    as-of lookup is an equi-join on posting reduced by max_by, so nothing is ranked in one place.
+    as-of lookup is an equi-join on posting reduced by a maximum, so nothing is ranked in one place.
     Applications typed by hand have no posting and no snapshot.
     """
     first = (
@@ -94,13 +94,18 @@ def sent_snapshot(events: DataFrame, interactions: DataFrame, versions: DataFram
     )
     sent = first.join(link, ["application_id", "user_id"])
     v = versions.select(F.col("id").alias("posting_id"), "company_id", "version_at", *SNAPSHOT_FIELDS)
-    content = F.struct("company_id", *SNAPSHOT_FIELDS)
-    frozen = (
-        sent.join(v, "posting_id")
+    keys = ["application_id", "user_id", "posting_id", "occurred_at"]
+    # The version is chosen by its time alone; only the columns that are read later meet the chosen ones.
+    latest = (
+        sent.join(v.select("posting_id", "version_at"), "posting_id")
         .filter(F.col("version_at") <= F.col("occurred_at"))
-        .groupBy("application_id", "user_id", "posting_id", "occurred_at")
-        .agg(F.max_by(content, "version_at").alias("s"))
-        .select("application_id", "user_id", "posting_id", F.col("occurred_at").alias("captured_at"), "s.*")
+        .groupBy(*keys)
+        .agg(F.max("version_at").alias("version_at"))
+    )
+    frozen = (
+        latest.join(v, ["posting_id", "version_at"])
+        .dropDuplicates(keys)
+        .select("application_id", "user_id", "posting_id", F.col("occurred_at").alias("captured_at"), "company_id", *SNAPSHOT_FIELDS)
     )
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
     where = places.groupBy("posting_id").agg(

@@ -62,3 +62,8 @@ def test_empty_tables_work_nothing_out(spark):
     d = Domain(spark, FOLDER)
     none = d.empty(d.postings)
     assert none.columns == d.postings.columns and none.count() == 0 and "lineitem" not in plan(none)
+
+
+def test_sent_snapshot_moves_only_what_is_read(spark):
+    snap = registry.queries()["sent_snapshot"](spark, FOLDER)
+    assert "description" not in plan(snap)
