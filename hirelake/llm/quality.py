@@ -81,6 +81,12 @@ def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return per_task.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
 
+def with_quality(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Every document and its label, if it has one. Always by a shuffle, of one copy of the texts, at any size: the labels
+    grow with the documents and need not fit a broadcast."""
+    return docs.join(labelled.hint("merge"), "doc_id", "left")
+
+
 def log_ratios(counts: DataFrame, buckets: int, smoothing: float = 1.0) -> np.ndarray:
     """log p(bucket | trusted) - log p(bucket | corpus), both smoothed; `buckets` numbers, whatever the corpus."""
     raw, trusted = np.full(buckets, smoothing), np.full(buckets, smoothing)
@@ -152,7 +158,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14)
     labelled = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = materialise(labelled.filter("quality IN (0, 1)"), "labelled")
     docs = docs.select("doc_id", "text")
-    ratios = log_ratios(bucket_counts(docs.join(labelled, "doc_id", "left"), buckets), buckets)
+    ratios = log_ratios(bucket_counts(with_quality(docs, labelled), buckets), buckets)
     found = materialise(measured(docs, ratios), "measured")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
