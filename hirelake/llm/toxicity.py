@@ -99,7 +99,7 @@ class BlockMaxIndex:
     """
 
     def __init__(
-        self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 16, span: int = SPAN, dense: bool = False
+        self, examples: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 32, span: int = SPAN, dense: bool = False
     ):
         term = np.concatenate([t for t, _ in examples] or [np.zeros(0)], dtype=np.int32, casting="unsafe")
         count = np.concatenate([n for _, n in examples] or [np.zeros(0, np.int32)])
@@ -113,7 +113,7 @@ class BlockMaxIndex:
     ) -> BlockMaxIndex:
         """From postings that are already in order of term and example: nothing is sorted or held twice."""
         index = cls.__new__(cls)
-        index._build(term, owner, count, size, idf, 16, SPAN, dense)
+        index._build(term, owner, count, size, idf, 32, SPAN, dense)
         return index
 
     def _build(self, term, owner, count, size: int, idf: np.ndarray, block: int, span: int, dense: bool) -> None:
@@ -166,7 +166,7 @@ class BlockMaxIndex:
         entry = _ranges(self.start[term], n)
         where = np.repeat(query * width, n) + self.owner.take(entry)
         total = np.bincount(where, np.repeat(weight, n) * self.weight.take(entry), len(queries) * width)
-        total = total.reshape(-1, width).astype(float)
+        total = total.reshape(-1, width).astype(float, copy=False)
         if self.dense is not None:
             total = total + head @ self.dense
         elif self.columns:
@@ -176,20 +176,31 @@ class BlockMaxIndex:
     def _add_common(self, total: np.ndarray, head: np.ndarray, k: int) -> None:
         """What the common terms give to those examples that can still be among the first k.
 
-        The first k so far are read at once: the least of their whole sums is what all others must reach.
+        Some k examples that lead so far are read at once: the least of their whole sums is what all others must reach.
         """
         rows = len(total)
         so_far, least, first = total.copy(), np.zeros((rows, 1)), np.zeros(total.shape, dtype=bool)
+        parts = so_far.reshape(rows, self.blocks, self.span)
+        lead = parts.argmax(axis=2)
+        top = np.take_along_axis(parts, lead[:, :, None], axis=2)[:, :, 0]
         if self.size >= k:
-            at = np.argpartition(total[:, : self.size], self.size - k, axis=1)[:, self.size - k :]
+            if self.size >= k * self.span:
+                # Any k examples give a bound; the leaders of the k best blocks are found without ordering all examples.
+                whole = self.size // self.span
+                blocks = np.argpartition(top[:, :whole], whole - k, axis=1)[:, whole - k :]
+                at = blocks * self.span + np.take_along_axis(lead, blocks, axis=1)
+            else:
+                at = np.argpartition(total[:, : self.size], self.size - k, axis=1)[:, self.size - k :]
             np.put_along_axis(first, at, True, axis=1)
-            self._read_rows(total, head, *np.nonzero(first))
+            self._read_rows(total, head, np.repeat(np.arange(rows), k), at.ravel())
             least = np.take_along_axis(total, at, axis=1).min(axis=1)[:, None] - SLACK
         small = head.astype(np.float32)
-        reach = so_far.reshape(rows, self.blocks, self.span).max(axis=2) + small @ self.largest >= least
+        reach = top + small @ self.largest >= least
         norms = np.sqrt(np.add.reduceat(small * small, self.groups, axis=1))
         hopeful = (so_far + norms @ self.norms >= least) & np.repeat(reach, self.span, axis=1) & ~first
-        self._read_rows(total, head, *np.nonzero(hopeful[:, : self.size]))
+        query, example = np.divmod(np.flatnonzero(hopeful), hopeful.shape[1])
+        real = example < self.size
+        self._read_rows(total, head, query[real], example[real])
 
     def _read_rows(self, total: np.ndarray, head: np.ndarray, query: np.ndarray, example: np.ndarray) -> None:
         """Adds the common terms' part of some (query, example) cells, about a million weights at a time."""
@@ -553,10 +564,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame
     they lie. Null ids and texts and repeated rows are scored as in `toxicity_scores`; an empty table stays empty."""
     model = fitted(docs, labels, **parameters)
 
+    at = [c.lower() for c in docs.columns].index("text")
+
     def run(batches):
         for batch in batches:
-            clean = pa.array([s < 0.5 for s, _ in model.scores(batch.column(1), batch.column(2))], pa.bool_())
+            texts = batch.column(0).field(at)
+            clean = pa.array([s < 0.5 for s, _ in model.scores(texts, batch.column(1))], pa.bool_())
             yield batch.select([0]).filter(clean)
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
+    # The text goes to the workers once, inside its row.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"))
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
