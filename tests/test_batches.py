@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import roles
 from hirelake.operators import merge as m
 from hirelake.operators import normalise as nz
+from hirelake.plans import registry
 from hirelake.schema import DISCOVERED_JOB
 from hirelake.streaming import ingest as si
 
@@ -53,3 +54,10 @@ def test_a_streamed_batch_is_read_by_columns(spark, tmp_path):
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     ((before, after, n, same),) = seen
     assert "ExistingRDD" in before and "FileScan" in after and "board_url" not in after and n == 1 and same
+
+
+def test_score_all_is_held_against_all_pairs(spark):
+    sql = registry.oracle_sql()
+    whole, since = sql["score_all"], sql["score_all_since_mark"]
+    marks = ("WHERE p.closed_at IS NULL", "AND notify_matches", "coalesce(pr.last_notified_at")
+    assert all(x in since and x not in whole for x in marks)
